@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that each hold QUERIES and ORACLE_SQL.
-MODULES = ["q_bpe"]
+MODULES = ["q_bpe", "q_sharding"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
