@@ -144,20 +144,24 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", keep:
     return _mapped(df, ids, fn, "text string", list(keep), ["text"])
 
 
-def round_trip_digests(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns, n_tokens, ids_sha256, decoded_sha256: encode and decode in one pass, without
-    sending ids through the JVM."""
+def round_trip_digests(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = False) -> DataFrame:
+    """keep columns, n_tokens, ids_sha256, decoded_sha256, and the ids where asked for: encode and
+    decode in one pass, without sending ids through the JVM in between."""
 
     def fn(texts):
         from hashlib import sha256
 
         codec = ByteBPE.load(vocabulary, pattern)
-        counts, a, b = [], [], []
+        counts, a, b, all_ids = [], [], [], []
         for t in texts:
-            ids = codec.encode(t)
-            counts.append(len(ids))
-            a.append(sha256(" ".join(map(codec.token_text.__getitem__, ids)).encode("ascii")).hexdigest())
-            b.append(sha256(codec.decode_bytes(ids)).hexdigest())
-        return [pa.array(counts, pa.int64()), pa.array(a), pa.array(b)]
-
-    return _mapped(df, text, fn, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", list(keep), ["n_tokens", "ids_sha256", "decoded_sha256"])
+            found = codec.encode(t)
+            counts.append(len(found))
+            a.append(sha256(" ".join(map(codec.token_text.__getitem__, found)).encode("ascii")).hexdigest())
+            b.append(sha256(codec.decode_bytes(found)).hexdigest())
+            if ids:
+                all_ids.append(pa.array(found, pa.int32()))
+        made = [pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+        return made + [pa.array([x.to_numpy() for x in all_ids], pa.list_(pa.int32()))] * ids
+
+    schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
+    return _mapped(df, text, fn, schema, list(keep), ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids)

@@ -44,10 +44,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 _written: list[tuple[SparkSession, str]] = []
 
 
-def drop_materialized() -> None:
-    """Delete the tables that materialize() has written so far."""
-    while _written:
-        spark, path = _written.pop()
+def written() -> int:
+    """How many tables materialize() has written that are still there."""
+    return len(_written)
+
+
+def drop_materialized(since: int = 0, but: int = 0) -> None:
+    """Delete the tables that materialize() has written, from the since-th on, without the last few."""
+    last = len(_written) - but
+    gone, _written[since:last] = _written[since:last], []
+    for spark, path in gone:
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)

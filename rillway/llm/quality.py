@@ -27,7 +27,11 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the columns of COUNTS."""
+    """df with the columns of COUNTS.
+
+    Write the result out before filtering on a count: Catalyst would push the filter down and repeat
+    the nested expressions in it.
+    """
     kept = [df[c].alias(c) for c in df.columns if c not in COUNTS]
     t = F.coalesce(df[text], F.lit(""))
     squeezed = lambda c, pattern: F.length(F.regexp_replace(c, pattern, ""))
