@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that each hold QUERIES and ORACLE_SQL.
-MODULES = ["q_bpe", "q_sharding", "q_quality", "q_hyperlang", "q_secrets", "q_html", "q_mixing", "q_neardup", "q_ann"]
+MODULES = ["q_bpe", "q_sharding", "q_quality", "q_hyperlang", "q_secrets", "q_html", "q_mixing", "q_neardup", "q_ann", "q_substrings"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
