@@ -10,14 +10,15 @@ Bands of ROWS registers are hashed; texts that share a band are candidates.  Equ
 node.  Within a bucket every node is compared with one leader, not with every other node: pairs
 grow with the bucket and not with its square.  A pair becomes a link when the Jaccard similarity
 of its sets of shingles, computed exactly, reaches the threshold.  Connected nodes form a class.
-Buckets that still hold several classes get other leaders, round after round, until a round finds no
-link between classes.
+The first round takes a few bands; then the buckets of all bands that hold several classes are
+compared across these, by nodes of their largest classes, other ones round after round, until a
+round finds no link.
 
 With 32 bands of 4 registers a pair at similarity 0.8 shares no band with probability 5e-8.
 
 Defined cases: texts of fewer than five words are one shingle of all their words; equal texts are
-always one class, and null counts as the empty text; texts without a word link to nothing else; rows with equal ids and texts are one document occurring twice; an empty table
-gives an empty result.  Words are what white space parts.  Null ids sort first.
+always one class, and null counts as the empty text; texts without a word link to nothing else; rows
+with equal ids and texts are one document occurring twice; an empty table gives an empty result.  Words are what white space parts.  Null ids sort first.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillway.llm.common import materialize
@@ -39,6 +40,10 @@ GROUP, GROUP_SHINGLES = 512, 300_000
 #: Entries of the cache of word hashes, emptied when full.
 CACHE_WORDS = 300_000
 NO_ID = -(2**63)
+#: Rows up to which a table of pairs, labels or open buckets is handled in one partition.
+SMALL = 200_000
+#: Bands of the first round, and nodes that a bucket of several classes is compared with in a later one.
+FIRST_BANDS, LEADERS = 4, 3
 
 _U = np.uint64
 
@@ -156,14 +161,24 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], names=["a", "b"])
 
 
+def _compact(df: DataFrame) -> tuple[DataFrame, bool]:
+    """A written table in one partition if it has SMALL rows at most, and whether it has: then joins and
+    sums over it need no exchange."""
+    small = df.limit(SMALL + 1).count() <= SMALL
+    return (df.coalesce(1) if small else df), small
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of (a, b): the least node that it is connected with.
 
     Labels spread along the edges and jump to their label's label; every round is written out.
     """
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    both, small = _compact(both)
+    one = lambda d: d.coalesce(1) if small else d
     labels = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:
+        labels = one(labels)
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         new = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "near").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("further"))
@@ -181,6 +196,18 @@ def _nodes(df: DataFrame, id_col: str, text: str, seed: int) -> DataFrame:
     return df.select(df[id_col].cast("long").alias("id"), F.xxhash64(F.lit(seed), t).alias("node"), F.xxhash64(F.lit(-1 - seed), t).alias("check"), t.alias("text"))
 
 
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that reach the threshold."""
+    found = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
+    return found.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a bigint, b bigint")
+
+
+def _open(named: DataFrame) -> DataFrame:
+    """Rows (band, node, label) of the bands with several labels."""
+    several = named.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("band")
+    return _compact(materialize(named.join(several, "band", "left_semi"), "open"))[0]
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, int]:
     """rows (id, node), node classes (node, class_id, class_node), and the seed of the node hashes.
 
@@ -194,36 +221,41 @@ def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[
         if not nodes.filter("c0 != c1").limit(1).count():
             break
         seed += 1  # two texts with one hash: take another hash
-    banded = rows.filter("bands is not null").select("node", F.explode("bands").alias("band")).distinct()
+    banded = rows.filter("bands is not null").select("node", F.posexplode("bands").alias("place", "band")).distinct()
     leaders = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("band", "leader")
     buckets = materialize(banded.join(leaders, "band"), "buckets")
-    tried: DataFrame | None = None
-    links: DataFrame | None = None
-    sets: DataFrame | None = None
-    labels: DataFrame | None = None
-    pairs = buckets.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = materialize(pairs, "pairs")
+    # the first bands find most links; the others only have to look across the classes these make
+    pairs = materialize(buckets.filter(f"node != leader and place < {FIRST_BANDS}").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     # every node that shares a bucket may have to be compared
     members = buckets.select("node").distinct().join(nodes.select("node", "least"), "node")
     texts = _nodes(df, id_col, text, seed).withColumn("least", F.coalesce("id", F.lit(NO_ID)))
     sets = materialize(texts.join(members, ["node", "least"], "left_semi").select("node", "text").mapInArrow(_sets, "node bigint, set binary").dropDuplicates(["node"]), "sets")
+    tried, labels = pairs, components(_linked(pairs, sets))
+    # (band, node, label) of the buckets that hold several classes
+    open_ = _open(buckets.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")))
     round_ = 0
     while True:
-        found = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
-        new = materialize(found.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a bigint, b bigint"), "links")
-        tried = pairs if tried is None else tried.union(pairs)
-        if round_ and not new.limit(1).count():
-            break
-        links = new if links is None else links.union(new)
-        labels = components(links)
         round_ += 1
-        # buckets with nodes of several classes: another class's node leads, by another order
-        named = buckets.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-        order = F.xxhash64(F.lit(round_), "label", "band")
-        open_ = named.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min_by(F.struct("node", "label"), F.struct(order, F.xxhash64(F.lit(round_), "node"))).alias("lead")).filter("l0 != l1")
-        pairs = named.join(open_.select("band", "lead"), "band").filter("label != lead.label")
-        pairs = pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+        # the largest classes of a bucket lead, one node of each, and meet the nodes of smaller ones
+        ranks = open_.groupBy("band", "label").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64(F.lit(round_), "node")).alias("lead"))
+        rank = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("n"), F.xxhash64(F.lit(round_), "label", "band"), "label"))
+        ranks = ranks.select("band", "label", "lead", rank.alias("rank"))
+        leads = ranks.filter(F.col("rank") <= LEADERS).select("band", "lead", F.col("rank").alias("lead_rank"))
+        met = open_.join(ranks.select("band", "label", "rank"), ["band", "label"]).join(leads, "band").filter("lead_rank < rank")
+        pairs = met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs, _ = _compact(pairs)
+        links = materialize(_linked(pairs, sets), "links")
+        if not links.limit(1).count():
+            break
+        tried = tried.union(pairs)
+        # links join classes: a graph of classes, and new labels for the nodes of joined ones
+        label_of = lambda n: labels.select(F.col("node").alias(n), F.col("label").alias(f"l{n}"))
+        ends = links.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        merged = components(ends).select(F.col("node").alias("label"), F.col("label").alias("new"))
+        labels = labels.union(links.select("a", "a").union(links.select("b", "b"))).groupBy("node").agg(F.min("label").alias("label"))
+        labels = materialize(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+        open_ = _open(open_.join(merged, "label", "left").select("band", "node", F.coalesce("new", "label").alias("label")))
     joined = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     of_class = joined.groupBy("label").agg(F.min(F.struct("least", "node")).alias("first"))
     joined = joined.join(of_class, "label").select("node", F.nullif(F.col("first.least"), F.lit(NO_ID)).alias("class_id"), F.col("first.node").alias("class_node"))
