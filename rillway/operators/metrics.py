@@ -35,8 +35,9 @@ def throughput(rolled: DataFrame, seconds: str = "t_parse") -> DataFrame:
 
 def stage_latency(df: DataFrame, keys: list[str], stage: str, at: str, name: str = "latency_us") -> DataFrame:
     """Microseconds since the stage before, for every stage but the first."""
-    before = F.lag(F.unix_micros(at)).over(Window.partitionBy(*keys).orderBy(stage))
-    return df.withColumn(name, F.unix_micros(at) - before).filter(F.col(name).isNotNull())
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    before = F.lag(micros).over(Window.partitionBy(*keys).orderBy(stage))
+    return df.withColumn(name, micros - before).filter(F.col(name).isNotNull())
 
 
 def latency_columns(df: DataFrame, stages: list[str] | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ records stay, with `valid` false and null fields.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,11 +36,11 @@ def _field_ok(f: StructField, parsed: Column, variant: Column) -> Column:
     elif isinstance(kind, BooleanType):
         ok &= value.isNull() | (seen == "BOOLEAN")
     elif isinstance(kind, DecimalType) and f.metadata.get("unsigned"):
-        ok &= value.isNull() | ((value >= 0) & (value <= U64_MAX) & ((seen == "BIGINT") | (seen.rlike(r"^DECIMAL\((19|20),0\)$") & (value >= 2**63))))
+        ok &= value.isNull() | ((value >= 0) & (value <= F.lit(Decimal(U64_MAX))) & ((seen == "BIGINT") | (seen.rlike(r"^DECIMAL\((19|20),0\)$") & (value >= F.lit(Decimal(2**63))))))
     elif isinstance(kind, ArrayType):
         items = ~F.exists(value, lambda x: x.isNull()) if not kind.containsNull else F.lit(True)
         if f.metadata.get("unsigned"):
-            items &= F.forall(value, lambda x: (x >= 0) & (x <= U64_MAX)) & seen.rlike(r"^ARRAY<(VOID|BIGINT|DECIMAL\(\d+,0\))>$")
+            items &= F.forall(value, lambda x: (x >= 0) & (x <= F.lit(Decimal(U64_MAX)))) & seen.rlike(r"^ARRAY<(VOID|BIGINT|DECIMAL\(\d+,0\))>$")
         if "size" in f.metadata:
             items &= F.size(value) == f.metadata["size"]
         ok &= value.isNull() | items
@@ -74,31 +75,38 @@ def parse_records(df: DataFrame, schema: StructType, mode: str = "strict", value
     return lines.select(*keep, F.when(valid, parsed).otherwise(error).alias("__p")).select(*keep, *[F.col("__p")[f.name].alias(f.name) for f in schema.fields])
 
 
-def parse_with_arrow(df: DataFrame, schema: StructType, value: str = "value") -> DataFrame:
-    """The same as strict parse_records, by pyarrow's JSON reader on Arrow batches; fixed-size lists are
+def parse_with_arrow(df: DataFrame, schema: StructType, mode: str = "strict", value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The same as parse_records in strict and lenient mode, by pyarrow's JSON reader on Arrow batches; fixed-size lists are
     read as lists and checked."""
     import pyarrow.json as pj
 
+    if mode not in ("strict", "lenient"):
+        raise ValueError("the Arrow parser is strict or lenient")
     loose = pa.schema([pa.field(f.name, pa.list_(f.type.value_field) if pa.types.is_fixed_size_list(f.type) else f.type, f.nullable) for f in to_arrow(schema)])
     sizes = {f.name: f.metadata["size"] for f in schema.fields if "size" in f.metadata}
     spark_arrow = pa.schema([pa.field(f.name, _plain(f.type), f.nullable) for f in loose])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lines = [x for x in b.column(0).to_pylist() if x is not None and x.strip()]
+            texts = b.column(0).to_pylist()
+            there = pa.array([x is not None and bool(x.strip()) for x in texts], pa.bool_())
+            kept = b.filter(there)
+            lines = kept.column(0).to_pylist()
             if not lines:
                 continue
             data = "\n".join(lines).encode()
-            options = pj.ParseOptions(explicit_schema=loose, unexpected_field_behavior="error")
+            options = pj.ParseOptions(explicit_schema=loose, unexpected_field_behavior="error" if mode == "strict" else "ignore")
             table = pj.read_json(pa.BufferReader(data), pj.ReadOptions(use_threads=False, block_size=max(1 << 20, 2 * len(data))), options)
             for name, n in sizes.items():
                 if any(x is not None and len(x) != n for x in table.column(name).to_pylist()):
                     raise ValueError(f"{name}: a list does not have {n} items")
             if len(table) != len(lines):
                 raise ValueError(f"{len(lines)} lines gave {len(table)} records")
-            yield from table.cast(spark_arrow).to_batches()
+            columns = [*kept.columns[1:], *table.cast(spark_arrow).columns]
+            yield from pa.table(columns, names=[*keep, *loose.names]).to_batches()
 
-    return df.select(value).mapInArrow(run, StructType([StructField(f.name, f.dataType, True, f.metadata) for f in schema.fields]))
+    rows = df.select(value, *keep)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[1:], *[StructField(f.name, f.dataType, True, f.metadata) for f in schema.fields]]))
 
 
 def _plain(t: pa.DataType) -> pa.DataType:
