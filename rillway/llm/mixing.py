@@ -17,7 +17,8 @@ before the row that would exceed the budget.
 
 Defined cases: null levels are children of their own, written `(null)`; null texts hold no tokens
 (such rows go with their key); rows with equal ids stand or fall together within a leaf and epoch;
-an empty table gives an empty result.  Input columns are kept; epoch is added by mix_epochs only.
+an empty table gives an empty result.  Input columns are kept, but for one
+named epoch, which is replaced.
 """
 
 from __future__ import annotations
@@ -106,8 +107,9 @@ def mix_epochs(
     small = plan.count() <= BROADCAST_LEAVES
     on_leaf = lambda a, b: a.join(F.broadcast(b) if small else b, names)
 
-    key = _key(F.col(id_col), seed, F.col("full")).alias("key")
-    slim = on_leaf(rows.select(*names, id_col, "__tokens"), plan.filter("rest > 0")).select(*names, "rest", key, F.col("__tokens").alias("n"))
+    key = _key(F.col("__id"), seed, F.col("full")).alias("key")
+    slim = rows.select(*names, F.col(id_col).alias("__id"), "__tokens")
+    slim = on_leaf(slim, plan.filter("rest > 0")).select(*names, "rest", key, F.col("__tokens").alias("n"))
     bucket = F.shiftright("key", KEY_BITS - BUCKETS.bit_length() + 1)
     along = Window.partitionBy(names).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     cut = (
@@ -132,10 +134,15 @@ def mix_epochs(
         .agg(F.min("key").alias("stop"))
     )
     plan = materialize(plan.join(cut, names, "left").join(last, names, "left"), "plan")
-    # before the cut's bucket all keys are taken, within it those before the first that is too much
-    taken = (F.col("rest") > 0) & ((F.col("bucket").isNull()) | (bucket < F.col("bucket")) | ((bucket == F.col("bucket")) & (F.col("stop").isNull() | (F.col("key") < F.col("stop")))))
-    chosen = on_leaf(rows, plan).withColumn("key", key).withColumn("__n", F.col("full") + taken.cast("long"))
-    chosen = chosen.filter("__n > 0")
+    # before the cut's bucket all keys are taken, within it those before the first that is too much;
+    # names of df can't clash with these
+    full, rest, cut_at, stop = (F.col(f"__{c}") for c in ("full", "rest", "bucket", "stop"))
+    chosen = on_leaf(rows, plan.select(*names, *[F.col(c).alias(f"__{c}") for c in ("full", "rest", "bucket", "stop")]))
+    chosen = chosen.withColumn("__key", _key(F.col(id_col), seed, full))
+    bucket = F.shiftright("__key", KEY_BITS - BUCKETS.bit_length() + 1)
+    taken = (rest > 0) & (cut_at.isNull() | (bucket < cut_at) | ((bucket == cut_at) & (stop.isNull() | (F.col("__key") < stop))))
+    chosen = chosen.withColumn("__n", full + taken.cast("long")).filter("__n > 0")
+    kept = [c for c in df.columns if c != "epoch"]
     if max_epochs == 1:
-        return chosen.select(*df.columns, F.lit(0).alias("epoch"))
-    return chosen.select(*df.columns, F.explode(F.sequence(F.lit(0), (F.col("__n") - 1).cast("int"))).alias("epoch"))
+        return chosen.select(*kept, F.lit(0).alias("epoch"))
+    return chosen.select(*kept, F.explode(F.sequence(F.lit(0), (F.col("__n") - 1).cast("int"))).alias("epoch"))

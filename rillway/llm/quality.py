@@ -7,7 +7,7 @@ posterior probability of being good reaches a threshold.  The base rules (too fe
 repetition) reject a document whatever the posterior.
 
 All counts are column expressions.  Votes enter the estimation as a histogram over vote patterns,
-which has 3**len(RULES) rows at most whatever the number of documents.
+which has 3**9 rows at most whatever the number of documents.
 
 Defined cases: a null text has no words, as an empty one; a ratio over nothing abstains; an empty
 table fits the starting values; repeated rows count as often as they occur.  Columns of the input
@@ -99,9 +99,6 @@ def rules() -> dict[str, Column]:
     }
 
 
-RULES = list(rules())
-
-
 @dataclass
 class Model:
     """Share of good documents, and for each rule how often it is right about good and bad ones."""
@@ -118,7 +115,7 @@ class Model:
 
 
 def fit(counted: DataFrame, rounds: int = 100, start: float = 0.9, accuracy: float = 0.8) -> Model:
-    """Expectation-maximisation over the histogram of vote patterns (3**len(RULES) rows at most) of
+    """Expectation-maximisation over the histogram of vote patterns (3**9 rows at most) of
     the documents that the base rules leave open.
 
     Accuracies stay within [0.55, 0.999]: a rule is better than chance by assumption, which fixes
