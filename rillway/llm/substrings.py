@@ -44,7 +44,7 @@ SPAN = WINDOW - GRAM + 1
 PIECE = 4_000_000
 #: Bytes of texts that are hashed together, and bytes of suffixes that make a run; they bound memory.
 CHUNK_BYTES, RUN_BYTES = 4_000_000, 40_000_000
-BUCKET_CELLS = 100_000
+BUCKET_CELLS, LEAST_BUCKETS = 50_000, 48
 NO_ID = -(2**63)
 
 _U = np.uint64
@@ -203,6 +203,17 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, _RUN_TYPES)], names=_RUN_NAMES)
 
 
+def _joined(spans: list[tuple]) -> list[tuple]:
+    """Spans (id, h, first, stop), with those of a text that touch made one."""
+    out: list[tuple] = []
+    for id_, h, first, stop in sorted(spans):
+        if out and out[-1][:2] == (id_, h) and first <= out[-1][3]:
+            out[-1] = (id_, h, out[-1][2], max(stop, out[-1][3]))
+        else:
+            out.append((id_, h, first, stop))
+    return out
+
+
 def _encode(entries: list[tuple]) -> bytes:
     """A front-coded run: numbers of every entry, then what each string adds to the one before."""
     numbers = np.zeros((len(entries), 6), np.int64)
@@ -243,12 +254,14 @@ def _runs(buckets: int):
                 while j < len(held) and held[j][0] == s:
                     j += 1
                 if j > k + 1:
-                    known += [(x[1], None, x[2], x[3], x[4], x[4] + x[5] - 1 + WINDOW) for x in held[k:j]]
+                    known += [(x[2], x[3], x[4], x[4] + x[5] - 1 + WINDOW) for x in held[k:j]]
                 dealt.setdefault(bucket, []).append((s, j == k + 1, id_, h, first, windows))
                 k = j
             held.clear()
-            for lo in range(0, len(known), 20_000):
-                yield _batch(known[lo : lo + 20_000])
+            # these are done; any bucket may pass them on
+            rows = [((x[0] ^ x[1]) % buckets, None, *x) for x in _joined(known)]
+            for lo in range(0, len(rows), 20_000):
+                yield _batch(rows[lo : lo + 20_000])
             for bucket, entries in dealt.items():
                 yield _batch([(bucket, _encode(entries), None, None, None, None)])
 
@@ -345,6 +358,7 @@ def _merged(table: pa.Table) -> pa.Table:
         group.append([s, 0 if one else 1, id_, h, first, windows])
     close(group)
     rows.extend(_windows(groups))
+    rows = _joined(rows)
     made = pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, _RUN_TYPES[2:])], names=_RUN_NAMES[2:])
     return pa.concat_tables([made, plain.cast(made.schema)])
 
@@ -365,7 +379,7 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     picked = materialize(picked, "picked")
     _release(df)
     total = picked.agg(F.sum(F.size("cells"))).first()[0] or 0
-    buckets = max(12, -(-int(total) // BUCKET_CELLS))
+    buckets = max(LEAST_BUCKETS, -(-int(total) // BUCKET_CELLS))
     runs = docs.filter(F.octet_length("text") >= WINDOW).join(picked, ["id", "h"]).select("id", "h", "text", "cells").mapInArrow(_runs(buckets), _RUN_SCHEMA)
     found = runs.groupBy("bucket").applyInArrow(_merged, "id bigint, h bigint, first int, stop int")
     found = materialize(found, "repeats")
