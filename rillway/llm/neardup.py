@@ -42,8 +42,9 @@ CACHE_WORDS = 300_000
 NO_ID = -(2**63)
 #: Rows up to which a table of pairs, labels or open buckets is handled in one partition.
 SMALL = 200_000
-#: Bands of the first round, and nodes that a bucket of several classes is compared with in a later one.
-FIRST_BANDS, LEADERS = 4, 3
+#: Bands of the first round; classes that lead in a bucket in a later one, and nodes of each (times the
+#: number of the round).
+FIRST_BANDS, LEADERS, LEADS = 4, 3, 16
 
 _U = np.uint64
 
@@ -230,17 +231,20 @@ def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[
     members = buckets.select("node").distinct().join(nodes.select("node", "least"), "node")
     texts = _nodes(df, id_col, text, seed).withColumn("least", F.coalesce("id", F.lit(NO_ID)))
     sets = materialize(texts.join(members, ["node", "least"], "left_semi").select("node", "text").mapInArrow(_sets, "node bigint, set binary").dropDuplicates(["node"]), "sets")
-    tried, labels = pairs, components(_linked(pairs, sets))
+    tried, labels = pairs, _compact(components(_linked(pairs, sets)))[0]
     # (band, node, label) of the buckets that hold several classes
     open_ = _open(buckets.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")))
     round_ = 0
     while True:
         round_ += 1
-        # the largest classes of a bucket lead, one node of each, and meet the nodes of smaller ones
-        ranks = open_.groupBy("band", "label").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64(F.lit(round_), "node")).alias("lead"))
+        # the largest classes of a bucket lead, some nodes of each, and meet the nodes of smaller ones;
+        # every round takes other nodes, and more
+        ranks = open_.groupBy("band", "label").agg(F.count("*").alias("n"))
         rank = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("n"), F.xxhash64(F.lit(round_), "label", "band"), "label"))
-        ranks = ranks.select("band", "label", "lead", rank.alias("rank"))
-        leads = ranks.filter(F.col("rank") <= LEADERS).select("band", "lead", F.col("rank").alias("lead_rank"))
+        ranks = ranks.select("band", "label", rank.alias("rank"))
+        turn = F.row_number().over(Window.partitionBy("band", "label").orderBy(F.xxhash64(F.lit(round_), "node"), "node"))
+        leads = open_.withColumn("turn", turn).filter(F.col("turn") <= LEADS * round_).join(ranks.filter(F.col("rank") < LEADERS + 1), ["band", "label"])
+        leads = leads.select("band", F.col("node").alias("lead"), F.col("rank").alias("lead_rank"))
         met = open_.join(ranks.select("band", "label", "rank"), ["band", "label"]).join(leads, "band").filter("lead_rank < rank")
         pairs = met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
@@ -251,10 +255,11 @@ def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[
         tried = tried.union(pairs)
         # links join classes: a graph of classes, and new labels for the nodes of joined ones
         label_of = lambda n: labels.select(F.col("node").alias(n), F.col("label").alias(f"l{n}"))
+        links = _compact(links)[0]
         ends = links.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
         merged = components(ends).select(F.col("node").alias("label"), F.col("label").alias("new"))
         labels = labels.union(links.select("a", "a").union(links.select("b", "b"))).groupBy("node").agg(F.min("label").alias("label"))
-        labels = materialize(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+        labels = _compact(materialize(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels"))[0]
         open_ = _open(open_.join(merged, "label", "left").select("band", "node", F.coalesce("new", "label").alias("label")))
     joined = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     of_class = joined.groupBy("label").agg(F.min(F.struct("least", "node")).alias("first"))
