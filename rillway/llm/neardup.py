@@ -243,9 +243,10 @@ def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[
         rank = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("n"), F.xxhash64(F.lit(round_), "label", "band"), "label"))
         ranks = ranks.select("band", "label", rank.alias("rank"))
         turn = F.row_number().over(Window.partitionBy("band", "label").orderBy(F.xxhash64(F.lit(round_), "node"), "node"))
-        leads = open_.withColumn("turn", turn).filter(F.col("turn") <= LEADS * round_).join(ranks.filter(F.col("rank") < LEADERS + 1), ["band", "label"])
+        leads = open_.withColumn("turn", turn).filter(F.col("turn") <= LEADS * round_).join(ranks.filter(F.col("rank") <= LEADERS), ["band", "label"])
         leads = leads.select("band", F.col("node").alias("lead"), F.col("rank").alias("lead_rank"))
-        met = open_.join(ranks.select("band", "label", "rank"), ["band", "label"]).join(leads, "band").filter("lead_rank < rank")
+        # nodes of the largest class only lead
+        met = open_.join(ranks.filter("rank > 1"), ["band", "label"]).join(leads, "band").filter("lead_rank < rank")
         pairs = met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         pairs, _ = _compact(pairs)
