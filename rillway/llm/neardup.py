@@ -42,9 +42,8 @@ CACHE_WORDS = 300_000
 NO_ID = -(2**63)
 #: Rows up to which a table of pairs, labels or open buckets is handled in one partition.
 SMALL = 200_000
-#: Bands of the first round; classes that lead in a bucket in a later one, and nodes of each (times the
-#: number of the round).
-FIRST_BANDS, LEADERS, LEADS = 4, 3, 16
+#: Bands of the first round; classes that lead in a bucket in a later one, and nodes of each.
+FIRST_BANDS, LEADERS, LEADS = 4, 3, 3
 
 _U = np.uint64
 
@@ -238,12 +237,12 @@ def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[
     while True:
         round_ += 1
         # the largest classes of a bucket lead, some nodes of each, and meet the nodes of smaller ones;
-        # every round takes other nodes, and more
+        # every round takes other nodes
         ranks = open_.groupBy("band", "label").agg(F.count("*").alias("n"))
         rank = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("n"), F.xxhash64(F.lit(round_), "label", "band"), "label"))
         ranks = ranks.select("band", "label", rank.alias("rank"))
         turn = F.row_number().over(Window.partitionBy("band", "label").orderBy(F.xxhash64(F.lit(round_), "node"), "node"))
-        leads = open_.withColumn("turn", turn).filter(F.col("turn") <= LEADS * round_).join(ranks.filter(F.col("rank") <= LEADERS), ["band", "label"])
+        leads = open_.withColumn("turn", turn).filter(F.col("turn") <= LEADS).join(ranks.filter(F.col("rank") <= LEADERS), ["band", "label"])
         leads = leads.select("band", F.col("node").alias("lead"), F.col("rank").alias("lead_rank"))
         # nodes of the largest class only lead
         met = open_.join(ranks.filter("rank > 1"), ["band", "label"]).join(leads, "band").filter("lead_rank < rank")
