@@ -7,12 +7,12 @@ later than every register (early termination).  Two registers agree with the pro
 similarity of the weighted sets, which for equal weights is the Jaccard similarity.
 
 Bands of ROWS registers are hashed; texts that share a band are candidates.  Equal texts are one
-node.  Within a bucket every node is compared with one leader, not with every other node: pairs
-grow with the bucket and not with its square.  A pair becomes a link when the Jaccard similarity
-of its sets of shingles, computed exactly, reaches the threshold.  Connected nodes form a class.
-The first round takes a few bands; then the buckets of all bands that hold several classes are
-compared across these, by nodes of their largest classes, other ones round after round, until a
-round finds no link.
+node.  A pair becomes a link when the Jaccard similarity of its sets of shingles, computed exactly,
+reaches the threshold.  Connected nodes form a class.  In a few bands every node is first compared
+with its bucket's leader, which finds most links.  Then each bucket of all bands that still holds
+several classes is settled: every pair of its nodes in different classes is compared, unless a
+prefix filter (see settle) proves that it cannot reach the threshold.  Large buckets are cut into
+parts, and every pair of parts is settled by itself, so that memory stays bounded.
 
 With 32 bands of 4 registers a pair at similarity 0.8 shares no band with probability 5e-8.
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillway.llm.common import materialize
@@ -40,10 +40,13 @@ GROUP, GROUP_SHINGLES = 512, 300_000
 #: Entries of the cache of word hashes, emptied when full.
 CACHE_WORDS = 300_000
 NO_ID = -(2**63)
-#: Rows up to which a table of pairs, labels or open buckets is handled in one partition.
+#: Rows up to which a table of pairs or labels is handled in one partition.
 SMALL = 200_000
-#: Bands of the first round; classes that lead in a bucket in a later one, and nodes of each.
-FIRST_BANDS, LEADERS, LEADS = 4, 3, 3
+#: Bands in which nodes are compared with leaders first.
+FIRST_BANDS = 4
+#: Bytes of sets that make a part of a bucket, nodes up to which all pairs are tried without a
+#: prefix filter, and candidates that the filter lists together; these bound memory only.
+PART_BYTES, FEW, LISTED = 8_000_000, 8, 2_000_000
 
 _U = np.uint64
 
@@ -155,12 +158,98 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = b.slice(lo, 500)
             ok = []
             for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                short, long = sorted((len(x), len(y)))
-                ok.append(short >= THRESHOLD * long and jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= THRESHOLD)
+                ok.append(_reaches(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], names=["a", "b"])
 
 
+def _reaches(x: np.ndarray, y: np.ndarray) -> bool:
+    short, long = sorted((len(x), len(y)))
+    return short >= THRESHOLD * long and jaccard(x, y) >= THRESHOLD
+
+
+def _candidates(sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (x, y) of all pairs that can reach the threshold; sets in order of their sizes.
+
+    Shingles are ordered from rare to frequent.  A set and a smaller one reach the threshold t only
+    with (size + size of the smaller) t / (1 + t) shingles in common, so their first ones share one:
+    of the larger set all but t size, of the smaller all but 2 t / (1 + t) size, and one more.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    m, owner = len(sets), np.repeat(np.arange(len(sets)), size)
+    _, item, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    order = np.lexsort((rank[item], owner))
+    rare, shared = rank[item][order], often[item][order] > 1
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    least = lambda share: np.ceil(share * size - 1e-9).astype(np.int64)
+    probe = shared & (place <= (size - least(THRESHOLD))[owner])
+    index = shared & (place <= (size - least(2 * THRESHOLD / (1 + THRESHOLD)))[owner])
+    listed = np.sort(rare[index] * m + owner[index])
+    x, key = owner[probe], rare[probe] * m
+    lo = np.searchsorted(listed, key + np.searchsorted(size, least(THRESHOLD))[x])
+    n = np.maximum(np.searchsorted(listed, key + x) - lo, 0)
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + LISTED, side="right")))
+        many = n[at:to]
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        pairs = np.unique(np.repeat(x[at:to], many) * m + listed[np.repeat(lo[at:to], many) + step] % m)
+        yield pairs // m, pairs % m
+        at = to
+
+
+def settle(label: np.ndarray, part: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join all classes of a bucket that any link joins: every pair with different labels
+    (and parts, where there are two) is compared, unless links already connect it or it cannot reach
+    the threshold."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    ordered = [sets[i] for i in order]
+    group, part = np.unique(label, return_inverse=True)[1][order], part[order]
+    across = part.min() != part.max()
+    m = len(sets)
+    lists = [np.triu_indices(m, 1)] if m <= FEW else _candidates(ordered)
+    found = []
+    for x, y in lists:
+        if across:
+            other = part[x] != part[y]
+            x, y = x[other], y[other]
+        for at in range(0, len(x), 10_000):
+            i, j = x[at : at + 10_000], y[at : at + 10_000]
+            apart = group[i] != group[j]
+            for k, l in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
+                if group[k] != group[l] and _reaches(ordered[k], ordered[l]):
+                    found.append((int(order[k]), int(order[l])))
+                    group[group == group[k]] = group[l]
+    return found
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, lo, hi, part, node, label, set), equal (band, lo, hi) in a row -> links (a, b)."""
+
+    def groups() -> Iterator[list[tuple]]:
+        held, key = [], None
+        for b in batches:
+            columns = [b.column(i).to_pylist() for i in range(6)]
+            for i, (band, lo, hi, *row) in enumerate(zip(*columns, strict=True)):
+                if (band, lo, hi) != key:
+                    if held:
+                        yield held
+                    held, key = [], (band, lo, hi)
+                held.append((*row, np.frombuffer(b.column(6)[i].as_py(), np.uint64)))
+        if held:
+            yield held
+
+    for rows in groups():
+        part, node, label, sets = zip(*rows, strict=True)
+        links = settle(np.array(label), np.array(part), list(sets))
+        if links:
+            ends = [pa.array([node[link[k]] for link in links], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+
 def _compact(df: DataFrame) -> tuple[DataFrame, bool]:
     """A written table in one partition if it has SMALL rows at most, and whether it has: then joins and
     sums over it need no exchange."""
@@ -202,10 +291,16 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return found.select("a", "b", "set_a", "set_b").mapInArrow(_verify, "a bigint, b bigint")
 
 
-def _open(named: DataFrame) -> DataFrame:
-    """Rows (band, node, label) of the bands with several labels."""
-    several = named.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("band")
-    return _compact(materialize(named.join(several, "band", "left_semi"), "open"))[0]
+def _open(named: DataFrame, sets: DataFrame) -> DataFrame:
+    """(band, node, label) -> (band, lo, hi, part, node, label): the bands with several labels, by
+    pairs lo <= hi of their parts.  Of bands with the same nodes one stays."""
+    sized = named.join(sets.select("node", "bytes"), "node")
+    same = [F.count("*").alias("n"), F.min("node").alias("n0"), F.max("node").alias("n1"), *[F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in (0, 1)]]
+    bands = sized.groupBy("band").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.sum("bytes").alias("bytes"), *same).filter("l0 != l1")
+    bands = bands.groupBy("n", "n0", "n1", "x0", "x1").agg(F.min("band").alias("band"), F.max(F.ceil(F.col("bytes") / PART_BYTES)).cast("int").alias("parts"))
+    open_ = named.join(bands.select("band", "parts"), "band").withColumn("part", F.pmod(F.xxhash64(F.lit(2), "node"), "parts").cast("int"))
+    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return materialize(open_.select("band", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "label"), "open")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, int]:
@@ -229,38 +324,18 @@ def classes(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[
     # every node that shares a bucket may have to be compared
     members = buckets.select("node").distinct().join(nodes.select("node", "least"), "node")
     texts = _nodes(df, id_col, text, seed).withColumn("least", F.coalesce("id", F.lit(NO_ID)))
-    sets = materialize(texts.join(members, ["node", "least"], "left_semi").select("node", "text").mapInArrow(_sets, "node bigint, set binary").dropDuplicates(["node"]), "sets")
-    tried, labels = pairs, _compact(components(_linked(pairs, sets)))[0]
-    # (band, node, label) of the buckets that hold several classes
-    open_ = _open(buckets.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")))
-    round_ = 0
-    while True:
-        round_ += 1
-        # the largest classes of a bucket lead, some nodes of each, and meet the nodes of smaller ones;
-        # every round takes other nodes
-        ranks = open_.groupBy("band", "label").agg(F.count("*").alias("n"))
-        rank = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("n"), F.xxhash64(F.lit(round_), "label", "band"), "label"))
-        ranks = ranks.select("band", "label", rank.alias("rank"))
-        turn = F.row_number().over(Window.partitionBy("band", "label").orderBy(F.xxhash64(F.lit(round_), "node"), "node"))
-        leads = open_.withColumn("turn", turn).filter(F.col("turn") <= LEADS).join(ranks.filter(F.col("rank") <= LEADERS), ["band", "label"])
-        leads = leads.select("band", F.col("node").alias("lead"), F.col("rank").alias("lead_rank"))
-        # nodes of the largest class only lead
-        met = open_.join(ranks.filter("rank > 1"), ["band", "label"]).join(leads, "band").filter("lead_rank < rank")
-        pairs = met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        pairs, _ = _compact(pairs)
-        links = materialize(_linked(pairs, sets), "links")
-        if not links.limit(1).count():
-            break
-        tried = tried.union(pairs)
-        # links join classes: a graph of classes, and new labels for the nodes of joined ones
-        label_of = lambda n: labels.select(F.col("node").alias(n), F.col("label").alias(f"l{n}"))
-        links = _compact(links)[0]
-        ends = links.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-        merged = components(ends).select(F.col("node").alias("label"), F.col("label").alias("new"))
-        labels = labels.union(links.select("a", "a").union(links.select("b", "b"))).groupBy("node").agg(F.min("label").alias("label"))
-        labels = _compact(materialize(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels"))[0]
-        open_ = _open(open_.join(merged, "label", "left").select("band", "node", F.coalesce("new", "label").alias("label")))
+    sets = materialize(texts.join(members, ["node", "least"], "left_semi").select("node", "text").mapInArrow(_sets, "node bigint, set binary").dropDuplicates(["node"]).withColumn("bytes", F.octet_length("set")), "sets")
+    labels = _compact(components(_linked(pairs, sets)))[0]
+    open_ = _open(buckets.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")), sets)
+    met = open_.join(sets.select("node", "set"), "node").select("band", "lo", "hi", "part", "node", "label", "set")
+    met = met.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "node")
+    links = _compact(materialize(met.mapInArrow(_settle, "a bigint, b bigint").distinct(), "links"))[0]
+    # links join classes: a graph of classes, and new labels for the nodes of joined ones
+    label_of = lambda n: labels.select(F.col("node").alias(n), F.col("label").alias(f"l{n}"))
+    ends = links.join(label_of("a"), "a", "left").join(label_of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    merged = components(ends).select(F.col("node").alias("label"), F.col("label").alias("new"))
+    labels = labels.union(links.select("a", "a").union(links.select("b", "b"))).groupBy("node").agg(F.min("label").alias("label"))
+    labels = materialize(labels.join(merged, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
     joined = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     of_class = joined.groupBy("label").agg(F.min(F.struct("least", "node")).alias("first"))
     joined = joined.join(of_class, "label").select("node", F.nullif(F.col("first.least"), F.lit(NO_ID)).alias("class_id"), F.col("first.node").alias("class_node"))

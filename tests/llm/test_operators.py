@@ -413,3 +413,47 @@ def test_probminhash_estimates_similarity():
     # doubled weights change nothing, since the similarity is of the shares
     z = neardup.signatures([(np.sort(a), 2 * ones)], 4096)[0]
     assert (x == z).mean() > 0.99
+
+
+def template_family(rng, size, pairs):
+    """Word lists that share a long passage but are no links, but for as many pairs of them."""
+    draw = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = draw(300)
+    made = [passage + draw(rng.randint(50, 56)) for _ in range(size - pairs)]
+    for w in made[:pairs]:
+        made.append(w[:-34] + draw(34))
+    return [" ".join(w) for w in made]
+
+
+@pytest.mark.parametrize("part_bytes", [8_000_000, 200_000])
+def test_near_duplicates_in_a_template_family(spark, monkeypatch, part_bytes):
+    monkeypatch.setattr(neardup, "PART_BYTES", part_bytes)
+    rng = random.Random(11)
+    texts = template_family(rng, 700, 40)
+    rng.shuffle(texts)
+    want = brute_classes(texts)
+    assert len(set(want)) == 660
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_bucket_is_settled_like_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    for shared, size in [(0, 60), (60, 90), (80, 98), (150, 176)]:
+        passage, sets = draw(shared), []
+        for _ in range(80):
+            sets.append(np.unique(np.concatenate([passage, draw(rng.integers(size - 8, size + 8) - shared)])))
+            sets.append(np.unique(np.concatenate([sets[-1][rng.integers(0, 12) :], draw(rng.integers(1, 12))])))
+        for parts in (1, 2):
+            label, part = rng.integers(0, 120, len(sets)), rng.integers(0, parts, len(sets))
+            found, every = list(label), list(label)
+            pairs = [(i, j) for i in range(len(sets)) for j in range(i) if (parts == 1 or part[i] != part[j]) and neardup.jaccard(sets[i], sets[j]) >= 0.8]
+            for of, links in ((found, neardup.settle(label, part, sets)), (every, pairs)):
+                for i, j in links:
+                    a, b = of[i], of[j]
+                    of[:] = [min(a, b) if v in (a, b) else v for v in of]
+            assert found == every
