@@ -1,10 +1,11 @@
 """Near-duplicate classes: ProbMinHash signatures, banding, exact verification.
 
-Texts become sets of shingles of five words, weighted by how often they occur.  ProbMinHash draws,
-for every shingle, the arrivals of a Poisson process whose rate is the shingle's weight; an arrival
-goes to a random register, which keeps its earliest.  A shingle is done once its next arrival is
-later than every register (early termination).  Two registers agree with the probability Jaccard
-similarity of the weighted sets, which for equal weights is the Jaccard similarity.
+Texts become sets of shingles of five words.  ProbMinHash draws, for every shingle, the arrivals of
+a Poisson process whose rate is the shingle's weight; an arrival goes to a random register, which
+keeps its earliest.  A shingle is done once its next arrival is later than every register (early
+termination).  Two registers agree with the probability Jaccard similarity of the weighted sets.
+Every shingle of a text weighs the same here, however often it occurs, so that this is the Jaccard
+similarity of the sets, by which pairs are accepted.
 
 Bands of ROWS registers are hashed; texts that share a band are candidates.  Equal texts are one
 node.  A pair becomes a link when the Jaccard similarity of its sets of shingles, computed exactly,
@@ -127,7 +128,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, t in enumerate([*texts, None]):
             last = i == len(texts)
             if not last and len(s := shingles(t)):
-                sets.append(np.unique(s, return_counts=True))
+                distinct = np.unique(s)
+                sets.append((distinct, np.ones(len(distinct))))
                 waiting.append(i)
                 size += len(sets[-1][0])
             if sets and (last or len(sets) >= GROUP or size >= GROUP_SHINGLES):

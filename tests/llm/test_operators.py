@@ -457,3 +457,21 @@ def test_bucket_is_settled_like_all_pairs():
                     a, b = of[i], of[j]
                     of[:] = [min(a, b) if v in (a, b) else v for v in of]
             assert found == every
+
+
+def test_near_duplicates_with_repeated_lines(spark):
+    """Repeats change neither the sets nor, therefore, the classes: a text with and without a line that
+    comes fifty times is linked; one changed word in a repetitive text unlinks as the sets say."""
+    rng = random.Random(12)
+    draw = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(20):
+        w, line = draw(100), draw(10)
+        texts += [" ".join(w), " ".join(w + line * 50)]
+        w = draw(8) * 40 + draw(20)
+        texts += [" ".join(w), " ".join([*w[:-9], "changed", *w[-8:]]), " ".join([*w[:-1], "last"])]
+    want = brute_classes(texts)
+    assert len(set(want)) == 60
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()}
+    assert got == dict(enumerate(want))
