@@ -10,7 +10,8 @@ and where the block stands.  Then
    whose smoothed ratio exceeds a threshold (the mean of the page's centres of the low and the high
    cluster) are content;
 3. the region is the `article` or `main` elements that hold content; on pages without them, the
-   innermost container that holds most of the content's text.  Every block of the region that is not
+   innermost container that holds all content, but no list, table, quote or the like nor a piece of
+   one, since these are parts of a text.  Every block of the region that is not
    boilerplate belongs to the result, however short it is.
 
 References are decoded, white space inside a block becomes one blank, blocks are joined by an empty
@@ -47,6 +48,8 @@ MARKS = frozenset(
     "social related recommended recommendations pagination pager toolbar skip".split()
 )
 REGIONS = frozenset(("article", "main"))
+#: Elements that are parts of a text and no containers of one.
+PARTS = frozenset("p ul ol dl li dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption details summary address".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SIGMA = 1.0
@@ -231,20 +234,17 @@ def main_text(html: str | None) -> str:
         regions = {id(b.node.region) for b, _ in blocks if b.node.region}
     if regions:
         return "\n\n".join(t for b, t in blocks if b.node.region and id(b.node.region) in regions)
-    # without an article: the innermost container with most of the text of the content blocks
-    weight: dict[int, int] = {}
+    # without an article: the innermost container with all content blocks
+    holds: dict[int, int] = {}
     nodes: dict[int, Node] = {}
-    total = 0
-    for (b, t), h in zip(blocks, high):
-        if h:
-            total += len(t)
-            node = b.node
-            while node is not None:
-                weight[id(node)] = weight.get(id(node), 0) + len(t)
-                nodes[id(node)] = node
-                node = node.parent
-    best = max((n for k, n in nodes.items() if 2 * weight[k] > total), key=lambda n: n.depth)
-    while best.tag in INLINE or best.tag == "p" or best.tag in HEADINGS:
+    for (b, _), h in zip(blocks, high):
+        node = b.node if h else None
+        while node is not None:
+            holds[id(node)] = holds.get(id(node), 0) + 1
+            nodes[id(node)] = node
+            node = node.parent
+    best = max((n for k, n in nodes.items() if holds[k] == sum(high)), key=lambda n: n.depth)
+    while best.tag in INLINE or best.tag in PARTS or best.tag in HEADINGS:
         best = best.parent
 
     def within(node: Node | None) -> bool:

@@ -161,6 +161,18 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_without_article_keeps_all_content():
+    long = lambda w, n: f"{w} some text here " * n
+    menu = '<div class="menu"><a>x</a> <a>y</a></div>'
+    first, second = long("one", 30).strip(), long("two", 30).strip()
+    links = "<div>Home</div><div>About</div><div>More</div><div>Top</div>"
+    page = f"<body><div>{links}</div><div><section>{f'<p>{first}</p>' * 3}</section><section>{f'<p>{second}</p>' * 2}</section></div></body>"
+    assert html_text.main_text(page) == "\n\n".join([first] * 3 + [second] * 2)
+    for outer, inner in [("<ul>", "li"), ("", "blockquote"), ("<table>", "td"), ("", "pre")]:
+        page = f"<body>{menu}<div><p>Short.</p>{outer}<{inner}>{first}</{inner}><{inner}>Last.</{inner}></div></body>"
+        assert html_text.main_text(page) == f"Short.\n\n{first}\n\nLast.", inner
+
+
 def test_smoothing_and_threshold():
     assert html_text.smooth([1.0, 1.0, 1.0]) == pytest.approx([1, 1, 1])
     assert 1 < html_text.threshold([1, 1, 2, 50, 60, 1]) < 50
