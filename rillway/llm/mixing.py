@@ -16,7 +16,8 @@ All sums are integers; rounding leaves less than one token per child unspent, an
 before the row that would exceed the budget.
 
 Defined cases: null levels are children of their own, written `(null)`; null texts hold no tokens
-(such rows go with their key); rows with equal ids stand or fall together within a leaf and epoch;
+(such rows go with their key, but a leaf without any token has no budget, and its rows are dropped at
+every percentage, as in the query's SQL); rows with equal ids stand or fall together within a leaf and epoch;
 an empty table gives an empty result.  Input columns are kept, but for one
 named epoch, which is replaced.
 """
