@@ -8,9 +8,13 @@ shards, and the greedy fill at that capacity gives the cuts.
 The greedy check needs prefix sums of group sizes.  They are never gathered: the driver holds sums
 over buckets of the hash (2**FIRST_BITS of them at most) and treats a bucket of several groups as
 an interval in which a cut may fall anywhere.  That brackets the least capacity from below and
-above; only the buckets in which a cut may fall are split by further bits of the hash, until both
-bounds and all cuts agree.  The result is exact, and what the driver holds depends on the number
-of shards and not on the rows.
+above, and every cut from both sides; only the buckets between a cut's two sides, one range of keys
+for each shard at most, are split by further bits of the hash, until all sides agree.  Sides only
+move towards each other, so what lies between two ranges counts as one bucket from then on.  The
+result is exact, and the driver holds MAX_SUMS sums and two for each shard, whatever the rows.
+
+Slots: rows are dealt to cells of a shard by a hash of their id, text and place in the table (stored
+in the first pass), so that a row that repeats very often is spread like any other.
 
 Defined cases: a null text has no bytes and forms one group with the empty text; every row counts
 one more byte than its text; repeated rows each get a slot; an empty table gives an empty result.
@@ -23,8 +27,9 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import accumulate, zip_longest
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillway.llm.common import materialize
@@ -32,6 +37,8 @@ from rillway.llm.common import materialize
 KEY_BITS = 63
 FIRST_BITS = 14
 STEP_BITS = 8
+#: Sums that a refinement may bring to the driver; it takes fewer bits at once where it would be more.
+MAX_SUMS = 2**16
 #: Rows that one task numbers, unless that would make more than MAX_CELLS cells.
 CELL_ROWS = 4096
 MAX_CELLS = 20_000
@@ -73,8 +80,9 @@ class Prefix:
             ends.append(at)
         return ends
 
-    def least(self, hopeful: bool) -> int:
-        lo, hi = max(-(-self.total // self.shards), self.largest), self.total
+    def least(self, hopeful: bool, bounds: tuple[int, int] | None = None) -> int:
+        """Least capacity that suffices, searched between the bounds where there are some."""
+        lo, hi = bounds or (max(-(-self.total // self.shards), self.largest), self.total)
         while lo < hi:
             mid = (lo + hi) // 2
             if self.fill(mid, hopeful)[-1] >= self.total:
@@ -84,50 +92,67 @@ class Prefix:
         return lo
 
 
+def _inside(ranges: list[tuple[int, int]]) -> Column:
+    """Whether the key lies in one of the ranges; a balanced tree of conditions."""
+    if len(ranges) > 1:
+        half = len(ranges) // 2
+        return _inside(ranges[:half]) | _inside(ranges[half:])
+    lo, hi = ranges[0]
+    return (F.col("key") >= F.lit(lo)) & (F.col("key") <= F.lit(hi - 1))
+
+
+def _joined(segments: list[Segment]) -> list[Segment]:
+    """One segment for all, in which no cut can fall."""
+    return [Segment(segments[0].lo, segments[-1].hi, sum(s.size for s in segments), sum(s.groups for s in segments))] if segments else []
+
+
 def minimax_cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
     """Least capacity, and the first key of every shard but the first; groups: key, size."""
+    largest = 0
 
-    def summed(bits: int, ranges: list[tuple[int, int]] | None) -> list[Segment]:
-        rows = groups
-        if ranges is not None:
-            inside = F.lit(False)
-            for lo, hi in ranges:
-                inside |= (F.col("key") >= F.lit(lo)) & (F.col("key") <= F.lit(hi - 1))
-            rows = rows.filter(inside)
+    def summed(bits: int, ranges: list[tuple[int, int]]) -> list[Segment]:
+        nonlocal largest
         shift = KEY_BITS - bits
+        rows = groups.filter(_inside(ranges)) if ranges else groups
         found = rows.groupBy(F.shiftright("key", shift).alias("b")).agg(F.sum("size"), F.count("*"), F.max("size")).collect()
-        nonlocal largest
         largest = max([largest, *(r[3] for r in found)])
         return sorted((Segment(b << shift, (b + 1) << shift, int(size), n) for b, size, n, _ in found), key=lambda s: s.lo)
 
-    largest, bits = 0, FIRST_BITS
-    segments = summed(bits, None)
+    bits = FIRST_BITS
+    segments = summed(bits, [])
+    bounds = None
     while True:
         at = Prefix(segments, shards, largest)
         if not at.total:
             return 0, []
-        low, high = at.least(True), at.least(False)
+        low, high = bounds = at.least(True, bounds), at.least(False, bounds)
         early, late = at.fill(low, False), at.fill(high, True)
-        if low == high and early == late and all(e in set(at.starts) for e in early):
-            ends = early[:-1]
-            return low, [segments[bisect_right(at.starts, e) - 1].lo for e in ends if e < at.total]
-        bits = min(bits + STEP_BITS, KEY_BITS)
-        split: set[int] = set()
-        for i in range(shards):
-            a, b = (x[i] if i < len(x) else at.total for x in (early, late))
+        if low == high and early == late and set(early) <= set(at.starts):
+            return low, [segments[bisect_right(at.starts, e) - 1].lo for e in early[:-1] if e < at.total]
+        # the segments in which each cut lies, as runs of neighbours; gaps between them hold no key
+        several = [0, *accumulate(s.groups > 1 for s in segments)]
+        hits: list[list[int]] = []
+        for a, b in zip_longest(early, late, fillvalue=at.total):
             first = max(0, bisect_right(at.starts, a) - 1)
             last = min(len(segments) - 1, bisect_right(at.starts, b) - 1)
-            hit = range(first, last + 1)
-            split.update(j for j in hit if any(segments[k].groups > 1 for k in hit))
-        ranges: list[tuple[int, int]] = []
-        for j in sorted(split):
-            s = segments[j]
-            if ranges and ranges[-1][1] == s.lo:
-                ranges[-1] = (ranges[-1][0], s.hi)
+            if hits and first <= hits[-1][1] + 1:
+                hits[-1][1] = max(hits[-1][1], last)
             else:
-                ranges.append((s.lo, s.hi))
+                hits.append([first, last])
+        open_ = [several[b + 1] > several[a] for a, b in hits]
+        ranges = [(segments[a].lo, segments[b].hi) for (a, b), o in zip(hits, open_) if o]
+        # as much finer as the driver may hold
+        step = STEP_BITS
+        while step > 1 and sum(hi - lo for lo, hi in ranges) >> KEY_BITS - min(KEY_BITS, bits + step) > MAX_SUMS:
+            step -= 1
+        bits = min(bits + step, KEY_BITS)
         finer = summed(bits, ranges)
-        segments = sorted([s for j, s in enumerate(segments) if j not in split] + finer, key=lambda s: s.lo)
+        # what lies between two ranges can hold no cut any more and counts as one
+        rest, done = [], 0
+        for (a, b), o in zip([*hits, [len(segments), len(segments)]], [*open_, True]):
+            rest += _joined(segments[done:a]) + ([] if o else segments[a : b + 1])
+            done = b + 1
+        segments = sorted(rest + finer, key=lambda s: s.lo)
 
 
 def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,6 +164,7 @@ def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(F.encode(text, "UTF-8")).alias("crc"),
             F.shiftrightunsigned(F.xxhash64(text), 1).alias("key"),
+            F.monotonically_increasing_id().alias("place"),
         ),
         "sizes",
     )
@@ -155,10 +181,10 @@ def shard(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str
     cells = F.lit(1)
     for s, n in rows.items():
         cells = F.when(F.col("shard") == s, F.lit(-(-n // cell_rows))).otherwise(cells)
-    placed = placed.withColumn("cell", F.pmod(F.hash("id", "key"), cells))
+    placed = placed.withColumn("cell", F.pmod(F.hash("id", "key", "place"), cells))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     shifts = placed.groupBy("shard", "cell").count().select("shard", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift"))
-    within = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("id", "key", "crc"))
+    within = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("id", "key", "place"))
     # MAX_CELLS plus the number of shards bounds the broadcast side
     return placed.withColumn("within", within).join(F.broadcast(shifts), ["shard", "cell"]).select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("shift") + F.col("within") - 1).cast("long").alias("slot")
