@@ -4,10 +4,16 @@ Each rule reads counts of a text and votes good (1), bad (-1) or abstains (0).
 maximisation over the votes of all documents estimates the share of good documents and how often
 each rule is right about good and about bad ones, without labels; a document is kept when its
 posterior probability of being good reaches a threshold.  The base rules (too few words, too much
-repetition) reject a document whatever the posterior.
+repetition) reject a document whatever the posterior, and such documents stay out of the estimation:
+they are short or repetitive, but by the other rules look like good ones.  No rule reads what the
+base rules leave constant, and no two rules read the same count.
+
+A rule may be blind to what makes documents bad here, and then votes alike on both kinds.  So its
+accuracies are only held to chance: where it would be right less often than wrong, it is made to say
+nothing.  Estimation runs from several starts, and the one of greatest likelihood counts.
 
 All counts are column expressions.  Votes enter the estimation as a histogram over vote patterns,
-which has 3**9 rows at most whatever the number of documents.
+which has 3**7 rows at most whatever the number of documents.
 
 Defined cases: a null text has no words, as an empty one; a ratio over nothing abstains; an empty
 table fits the starting values; repeated rows count as often as they occur.  Columns of the input
@@ -84,13 +90,10 @@ def rules() -> dict[str, Column]:
     n = F.col("n_words")
     length, symbols = _share("word_chars", "n_words"), _share("n_symbols", "n_words")
     lines, repeats = _share("n_dup_lines", "n_lines"), _share("n_repeat_words", "n_words")
-    marks = _share("n_symbols", "word_chars")
     letters, distinct, stops = _share("n_letters", "word_chars"), _share("n_distinct_words", "n_words"), _share("n_stops", "n_words")
     return {
-        "enough_words": _vote(n >= 50, n < 20),
         "word_length": _vote((length >= 3) & (length <= 10), (length < 2) | (length > 20)),
         "few_symbols": _vote(symbols <= 0.1, symbols >= 0.3),
-        "symbol_share": _vote(marks <= 0.02, marks >= 0.05),
         "fresh_lines": _vote((lines <= 0.1) & (F.col("n_lines") >= 2), lines > 0.3),
         "fresh_windows": _vote(repeats <= 0.25, repeats > 0.5),
         "letters": _vote(letters >= 0.9, letters < 0.8),
@@ -114,36 +117,60 @@ class Model:
         return out
 
 
-def fit(counted: DataFrame, rounds: int = 100, start: float = 0.9, accuracy: float = 0.8) -> Model:
-    """Expectation-maximisation over the histogram of vote patterns (3**9 rows at most) of
-    the documents that the base rules leave open.
+#: Shares of good documents and accuracies of the rules from which the estimation starts.
+STARTS = [(0.5, 0.6), (0.7, 0.75), (0.9, 0.8), (0.9, 0.95), (0.97, 0.9)]
+#: Votes that each rule gets besides the ones seen, at PRIOR accuracy; they keep a rule that hardly votes near it.
+PSEUDO_VOTES, PRIOR = 2.0, 0.8
 
-    Accuracies stay within [0.55, 0.999]: a rule is better than chance by assumption, which fixes
-    which of the two classes is the good one.
-    """
-    votes = rules()
-    seen = counted.filter(~base_failed()).select([v.cast("tinyint").alias(k) for k, v in votes.items()]).groupBy(list(votes)).count().collect()
-    patterns = sorted((tuple(r[k] for k in votes), r["count"]) for r in seen)
-    clamp = lambda x: min(0.999, max(0.55, x))
-    good, a, b = start, [accuracy] * len(votes), [accuracy] * len(votes)
-    for _ in range(rounds if patterns else 0):
-        mass = [[0.0, 0.0] for _ in range(2 * len(votes))]
-        total = all_good = 0.0
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], start: float, accuracy: float, rounds: int = 200) -> tuple[float, Model]:
+    """Log-likelihood and model by expectation-maximisation from one start; patterns: votes, count."""
+    k = len(patterns[0][0])
+    clamp = lambda x: min(0.999, max(0.001, x))
+    good, a, b = start, [accuracy] * k, [accuracy] * k
+    before = -math.inf
+    for _ in range(rounds):
+        yes, no = [[0.0] * k for _ in range(2)], [[0.0] * k for _ in range(2)]  # by class: votes good, votes bad
+        total = all_good = likelihood = 0.0
         for p, n in patterns:
-            x = math.log(good / (1 - good))
+            of_good, of_bad = math.log(good), math.log(1 - good)
             for j, v in enumerate(p):
-                x += math.log(a[j] / (1 - b[j])) if v == 1 else math.log((1 - a[j]) / b[j]) if v == -1 else 0.0
-            g = 1 / (1 + math.exp(-max(-700.0, min(700.0, x))))
-            total, all_good = total + n, all_good + n * g
+                if v:
+                    of_good += math.log(a[j] if v == 1 else 1 - a[j])
+                    of_bad += math.log(1 - b[j] if v == 1 else b[j])
+            top = max(of_good, of_bad)
+            both = math.exp(of_good - top) + math.exp(of_bad - top)
+            g = math.exp(of_good - top) / both
+            total, all_good, likelihood = total + n, all_good + n * g, likelihood + n * (top + math.log(both))
             for j, v in enumerate(p):
                 if v:
-                    mass[2 * j][v == 1] += n * g
-                    mass[2 * j + 1][v == -1] += n * (1 - g)
-        good = min(0.999, max(0.001, all_good / total))
-        # two pseudo-votes at the starting accuracy keep rules that hardly vote where they began
-        a = [clamp((mass[2 * j][1] + 2 * accuracy) / (sum(mass[2 * j]) + 2)) for j in range(len(votes))]
-        b = [clamp((mass[2 * j + 1][1] + 2 * accuracy) / (sum(mass[2 * j + 1]) + 2)) for j in range(len(votes))]
-    return Model(good, a, b)
+                    votes = yes if v == 1 else no
+                    votes[0][j] += n * g
+                    votes[1][j] += n * (1 - g)
+        if likelihood - before < 1e-9 * abs(likelihood):
+            break
+        before = likelihood
+        good = clamp(all_good / total)
+        for j in range(k):
+            a[j] = clamp((yes[0][j] + PSEUDO_VOTES * PRIOR) / (yes[0][j] + no[0][j] + PSEUDO_VOTES))
+            b[j] = clamp((no[1][j] + PSEUDO_VOTES * PRIOR) / (yes[1][j] + no[1][j] + PSEUDO_VOTES))
+            if a[j] + b[j] < 1:  # worse than chance: the same share of good votes for both
+                a[j] = clamp((yes[0][j] + yes[1][j] + PSEUDO_VOTES / 2) / (yes[0][j] + yes[1][j] + no[0][j] + no[1][j] + PSEUDO_VOTES))
+                b[j] = 1 - a[j]
+    return likelihood, Model(good, a, b)
+
+
+def fit(counted: DataFrame) -> Model:
+    """The model of greatest likelihood, from the histogram of vote patterns (3**7 rows at most) of
+    the documents that the base rules leave open; without any, that of the first start."""
+    votes = rules()
+    seen = counted.filter(~base_failed()).select([v.cast("tinyint").alias(k) for k, v in votes.items()]).groupBy(list(votes)).count().collect()
+    patterns = sorted((tuple(r[k] for k in votes), r["count"]) for r in seen)
+    if not patterns:
+        good, accuracy = STARTS[0]
+        return Model(good, [accuracy] * len(votes), [accuracy] * len(votes))
+    found = [estimate(patterns, *start) for start in STARTS]
+    return max(found, key=lambda x: x[0])[1]
 
 
 def base_failed(min_words: int = 50, max_repeat_percent: int = 50) -> Column:
