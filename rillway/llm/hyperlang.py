@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 DIMENSIONS = 1024
 SEED = 20_011
-#: Documents that are bundled together, and their letters at most; bounds memory, not what is read.
-GROUP, GROUP_LETTERS = 96, 400_000
+#: Documents that are bundled together, and their letters about; trigrams whose vectors are made
+#: together, and letters of a text that are counted together.  They bound memory, not what is read.
+GROUP, GROUP_LETTERS, KEYS, PIECE = 96, 400_000, 4096, 1_000_000
 
 
 class Space:
@@ -39,7 +40,9 @@ class Space:
 
     def __init__(self):
         self.index = np.full(0x110000, -1, np.int32)  # code point -> row of letters; 0 is the blank
-        self.letters = np.zeros((0, DIMENSIONS), np.int8)
+        self.letters = np.zeros((256, DIMENSIONS), np.int8)  # doubled when full
+        self.rolled = [np.zeros_like(self.letters) for _ in range(2)]  # letters rolled by 2 and 1
+        self.count = 0
         self._add(32)
 
     @classmethod
@@ -48,9 +51,14 @@ class Space:
         return cls._one
 
     def _add(self, point: int) -> None:
+        if self.count == len(self.letters):
+            self.letters, *self.rolled = (np.concatenate([x, np.zeros_like(x)]) for x in (self.letters, *self.rolled))
         bits = np.random.Generator(np.random.Philox(key=[SEED, point])).integers(0, 2, DIMENSIONS, np.int8)
-        self.index[point] = len(self.letters)
-        self.letters = np.concatenate([self.letters, (2 * bits - 1)[None]])
+        self.letters[self.count] = 2 * bits - 1
+        for by, out in zip((2, 1), self.rolled):
+            out[self.count] = np.roll(self.letters[self.count], by)
+        self.index[point] = self.count
+        self.count += 1
 
     def rows(self, text: str) -> np.ndarray:
         """Rows of a text's letters, with single blanks around and between its runs of letters."""
@@ -66,26 +74,46 @@ class Space:
         blank = rows == 0
         return rows[np.concatenate([[True], ~(blank[1:] & blank[:-1])])]
 
-    def trigrams(self, text: str) -> np.ndarray:
-        """Keys of a text's trigrams; empty if it has no letter."""
-        r = self.rows(text).astype(np.int64)
-        return (r[:-2] << 40) | (r[1:-1] << 20) | r[2:] if len(r) > 2 else np.zeros(0, np.int64)
+    def trigrams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of a text's trigrams and how often each occurs; empty if it has no letter."""
+        r = self.rows(text)
+        parts = []
+        for at in range(0, len(r) - 2, PIECE):
+            x = r[at : at + PIECE + 2].astype(np.int64)
+            parts.append(np.unique((x[:-2] << 40) | (x[1:-1] << 20) | x[2:], return_counts=True))
+        return added(parts)
 
     def vectors(self, keys: np.ndarray) -> np.ndarray:
         """Vectors of trigrams: letters permuted by place (rolled by 2, 1 and 0) and bound."""
         mask = (1 << 20) - 1
-        rolled = [np.roll(self.letters, 2, 1), np.roll(self.letters, 1, 1), self.letters]
-        out = rolled[0][keys >> 40] * rolled[1][(keys >> 20) & mask]
-        out *= rolled[2][keys & mask]
+        out = self.rolled[0][keys >> 40] * self.rolled[1][(keys >> 20) & mask]
+        out *= self.letters[keys & mask]
         return out
 
 
-def bundle(texts: list[np.ndarray], space: Space) -> np.ndarray:
-    """A row for each list of trigram keys: the sum of their vectors."""
-    sizes = [len(t) for t in texts]
-    keys, at = np.unique(np.concatenate(texts), return_inverse=True)
-    table = np.bincount(np.repeat(np.arange(len(texts)), sizes) * len(keys) + at, minlength=len(texts) * len(keys))
-    return table.reshape(len(texts), len(keys)).astype(np.float32) @ space.vectors(keys).astype(np.float32)
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of several lists of them as one."""
+    if len(parts) < 2:
+        return parts[0] if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+
+def bundle(texts: list[tuple[np.ndarray, np.ndarray]], space: Space) -> np.ndarray:
+    """A row for each list of trigram keys and counts: the sum of their vectors."""
+    keys, at = np.unique(np.concatenate([k for k, _ in texts]), return_inverse=True)
+    doc = np.repeat(np.arange(len(texts)), [len(k) for k, _ in texts])
+    times = np.concatenate([n for _, n in texts])
+    order = np.argsort(at, kind="stable")
+    at, doc, times = at[order], doc[order], times[order]
+    out = np.zeros((len(texts), DIMENSIONS), np.float32)
+    for lo in range(0, len(keys), KEYS):
+        own = slice(*np.searchsorted(at, [lo, lo + KEYS]))
+        part = keys[lo : lo + KEYS]
+        table = np.zeros((len(texts), len(part)), np.float32)
+        table[doc[own], at[own] - lo] = times[own]
+        out += table @ space.vectors(part).astype(np.float32)
+    return out
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
@@ -94,21 +122,21 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Space.get()
         sums: dict[str, np.ndarray] = {}
-        waiting: dict[str, list[np.ndarray]] = {}
+        waiting: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         size = 0
 
         def settle():
             for k, parts in waiting.items():
-                keys, n = np.unique(np.concatenate(parts), return_counts=True)
-                for lo in range(0, len(keys), 4096):
-                    sums[k] = sums.get(k, 0) + n[lo : lo + 4096].astype(np.float64) @ space.vectors(keys[lo : lo + 4096])
+                keys, n = added(parts)
+                for lo in range(0, len(keys), KEYS):
+                    sums[k] = sums.get(k, 0) + n[lo : lo + KEYS].astype(np.float64) @ space.vectors(keys[lo : lo + KEYS])
             waiting.clear()
 
         for b in batches:
             for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 waiting.setdefault(k, []).append(g := space.trigrams(t))
-                size += len(g)
-                if size > 2_000_000:
+                size += len(g[0])
+                if size > 1_000_000:
                     settle()
                     size = 0
         settle()
@@ -138,7 +166,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         if matrix is None:
             return langs, scores
-        waiting: list[tuple[int, np.ndarray]] = []
+        waiting: list[tuple[int, tuple[np.ndarray, np.ndarray]]] = []
         size = 0
 
         def settle():
@@ -151,9 +179,9 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
             waiting.clear()
 
         for i, t in enumerate(texts):
-            if t and len(g := space.trigrams(t)):
+            if t and len((g := space.trigrams(t))[0]):
                 waiting.append((i, g))
-                size += len(g)
+                size += len(g[0])
             if waiting and (len(waiting) >= GROUP or size >= GROUP_LETTERS):
                 settle()
                 size = 0
