@@ -17,16 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where the session has it.
 
-    Only a session without that setting (tests, local mode) gets a temporary folder of its own.
+    Only a local session without that setting (tests) gets a temporary folder of its own.
     """
     own = spark.conf.get("spark.checkpoint.dir", None)
     if own is None:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = getattr(shared_dir, "_local", None)
         if own is None:
             own = shared_dir._local = tempfile.mkdtemp(prefix="rillway-")
     return own.rstrip("/")
 
 
+#: Spark removes the shuffle files of a query when it ends; nothing reads them once its table is written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
@@ -36,7 +43,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rillway-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _written.append((spark, path))
     return spark.read.schema(schema).parquet(path)
 
