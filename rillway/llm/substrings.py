@@ -15,7 +15,7 @@ deals it to buckets by k-gram.  A bucket merges its runs with a loser tree that
 waiting suffix, how long its common prefix with the last winner is: suffixes are compared by these
 lengths, and bytes are only looked at beyond a known common prefix.  Suffixes that meet an equal one
 are repeated whole.  Different suffixes with the same anchor k-gram come out next to each other; for
-them the single windows are compared within the group.
+them the single windows are found by hashes within the group, and compared byte by byte.
 
 Equal suffixes of one task travel as one, so that a group of very many copies reaches a bucket once
 per task.  Buckets hold about BUCKET_CELLS cells, whatever the input.
@@ -27,7 +27,6 @@ texts are cut into pieces of PIECE windows that overlap, which changes cells but
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 
@@ -294,7 +293,8 @@ def _windows(groups: list[list[tuple]]) -> Iterator[tuple]:
         right = int.from_bytes(s[-2:], "big")
         pieces.append(s[right:-2][::-1] + s[:right])
     lengths = np.array([len(p) for p in pieces])
-    buffer = np.frombuffer(b"".join(pieces), np.uint8)
+    data = b"".join(pieces)
+    buffer = np.frombuffer(data, np.uint8)
     starts = np.cumsum(lengths) - lengths
     long, mid, short = _grams(buffer, 128), _grams(buffer, 64), _grams(buffer, 8)
     n = len(buffer) - WINDOW + 1
@@ -303,19 +303,35 @@ def _windows(groups: list[list[tuple]]) -> Iterator[tuple]:
     entry = np.repeat(np.arange(len(flat)), counts)
     offset = np.arange(len(entry)) - np.repeat(np.cumsum(counts) - counts, counts)
     group = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
-    keys = _mix(prints[starts[entry] + offset] + group[entry].astype(np.uint64) * _FACTORS[2])
+    place = starts[entry] + offset
+    keys = _mix(prints[place] + group[entry].astype(np.uint64) * _FACTORS[2])
     _, inverse, times = np.unique(keys, return_inverse=True, return_counts=True)
     open_ = np.array([not e[1] for e in flat])
     hit = np.flatnonzero((times[inverse] > 1) & open_[entry])
     if not len(hit):
         return
+    # every hit is held against the first window of its hash, and that one against the second
+    order = np.argsort(inverse, kind="stable")
+    begin = np.cumsum(times) - times
+    other = order[begin[inverse[hit]]]
+    other = np.where(other == hit, order[begin[inverse[hit]] + 1], other)
     new = np.ones(len(hit), bool)
-    new[1:] = (hit[1:] != hit[:-1] + 1) | (entry[hit[1:]] != entry[hit[:-1]])
+    new[1:] = (hit[1:] != hit[:-1] + 1) | (entry[hit[1:]] != entry[hit[:-1]]) | (other[1:] != other[:-1] + 1) | (entry[other[1:]] != entry[other[:-1]])
     heads = np.flatnonzero(new)
     tails = np.append(heads[1:], len(hit)) - 1
-    for e, lo, hi in zip(entry[hit[heads]].tolist(), offset[hit[heads]].tolist(), offset[hit[tails]].tolist()):
+    for head, tail in zip(heads.tolist(), tails.tolist()):
+        w, e = int(hit[head]), int(entry[hit[head]])
         _, _, id_, h, first, _ = flat[e]
-        yield id_, h, first + lo, first + hi + WINDOW
+        first += int(offset[w])
+        p, q, n = int(place[w]), int(place[other[head]]), tail - head
+        if data[p : p + n + WINDOW] == data[q : q + n + WINDOW]:
+            yield id_, h, first, first + n + WINDOW
+            continue
+        for k in range(n + 1):  # different strings with one hash: all windows of the hash are compared
+            own = data[p + k : p + k + WINDOW]
+            same = order[begin[inverse[w + k]] :][: times[inverse[w + k]]]
+            if any(data[place[x] : place[x] + WINDOW] == own for x in same.tolist() if x != w + k and group[entry[x]] == group[e]):
+                yield id_, h, first + k, first + k + WINDOW
 
 
 #: Bytes of different suffixes whose windows are compared together.
@@ -363,27 +379,21 @@ def _merged(table: pa.Table) -> pa.Table:
     return pa.concat_tables([made, plain.cast(made.schema)])
 
 
-def _release(df: DataFrame) -> None:
-    """Let the driver drop shuffle files of finished jobs, which are large here."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-
-
 def repeated(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, h (hash of the text) and spans array<struct<first,stop>> of the rows that hold repeats."""
     docs = _keyed(df, id_col, text)
     hashed = materialize(docs.filter(F.octet_length("text") >= WINDOW).mapInArrow(_hash_cells, "id bigint, h bigint, grams array<bigint>"), "grams")
     grams = hashed.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # written, so that the join below is one of two plain exchanges, of which Spark splits a very common k-gram
+    grams = materialize(grams, "repeated_grams")
     placed = hashed.select("id", "h", F.posexplode("grams").alias("cell", "gram"))
     picked = placed.join(grams, "gram", "left_semi").groupBy("id", "h").agg(F.collect_set("cell").alias("cells"))
     picked = materialize(picked, "picked")
-    _release(df)
     total = picked.agg(F.sum(F.size("cells"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-int(total) // BUCKET_CELLS))
     runs = docs.filter(F.octet_length("text") >= WINDOW).join(picked, ["id", "h"]).select("id", "h", "text", "cells").mapInArrow(_runs(buckets), _RUN_SCHEMA)
     found = runs.groupBy("bucket").applyInArrow(_merged, "id bigint, h bigint, first int, stop int")
     found = materialize(found, "repeats")
-    _release(df)
     return found.groupBy("id", "h").agg(F.array_sort(F.collect_set(F.struct("first", "stop"))).alias("spans"))
 
 
