@@ -275,6 +275,31 @@ def test_graph_search(spark):
     assert hits / (10 * len(got)) >= 0.9 and len(got) == 30
 
 
+def test_graph_search_is_routed(spark, monkeypatch):
+    """Many shards, of which clustered vectors need few: recall holds, and the visits don't grow with the shards."""
+    import numpy as np
+
+    monkeypatch.setattr(graph_ann, "SHARD_VECTORS", 150)
+    measured, seen = graph_ann._measured, []
+    monkeypatch.setattr(graph_ann, "_measured", lambda nodes, queries, router, k: seen.append((len(router.centres[12]), measured(nodes, queries, router, k))) or seen[-1][1])
+    rng = np.random.default_rng(4)
+    homes = rng.normal(size=(40, 12))
+    vectors = homes[rng.integers(0, 40, 3000)] + 0.15 * rng.normal(size=(3000, 12))
+    vectors[:1200] = homes[0] + 0.05 * rng.normal(size=(1200, 12))  # a third and more in one place
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in graph_ann.search(df, k=10, every=20).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hits = 0
+    for q, found in got.items():
+        scores = vectors @ vectors[q]
+        hits += len(set([i for i in np.argsort(-scores).tolist() if i != q][:10]) & {v for _, v, _ in found})
+        assert len(found) == 10 and all(abs(scores[v] - s) < 1e-12 for _, v, s in found)
+    assert hits / (10 * len(got)) >= 0.9 and len(got) == 150
+    (centres, visits), = seen
+    assert centres == 20 and visits <= 8
+
+
 def test_graph_search_awkward(spark):
     odd = [(i, [1.0, 0.0]) for i in range(60)] + [(100, None), (101, [0.0, 0.0]), (102, [float("nan"), 1.0]), (103, [None, 1.0]), (105, [1.0, 2.0, 3.0]), (107, [float("inf"), 1.0]), (120, [2.0, 2.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(odd, "vec_id long, embedding array<float>")
@@ -487,3 +512,21 @@ def test_near_duplicates_with_repeated_lines(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(df).collect()}
     assert got == dict(enumerate(want))
+
+
+def test_equal_hashes_of_windows_are_compared(monkeypatch):
+    """With a hash that takes few values, windows of one hash differ, and only equal ones are repeats."""
+    import numpy as np
+
+    mix = substrings._mix
+    monkeypatch.setattr(substrings, "_mix", lambda x: mix(x) & np.uint64(31))
+    rng = random.Random(6)
+    draw = lambda n: bytes(rng.choices(b"abcdefgh", k=n))
+    passage = draw(260)
+    texts = [draw(100) + passage[: rng.randint(150, 260)] + draw(120) for _ in range(12)]
+    right = (200).to_bytes(2, "big")
+    groups = [[(t[100:300] + t[:100][::-1] + right, False, i, 0, 0, 101) for i, t in enumerate(texts)]]
+    covered = [bytearray(300) for _ in texts]
+    for i, _, first, stop in substrings._windows(groups):
+        covered[i][first:stop] = b"\1" * (stop - first)
+    assert covered == brute_repeats([t[:300] for t in texts])
