@@ -173,6 +173,38 @@ def test_html_without_article_keeps_all_content():
         assert html_text.main_text(page) == f"Short.\n\n{first}\n\nLast.", inner
 
 
+PARAGRAPH = ("some longer text stands here and goes on, " * 6).strip()
+P, MENU = f"<p>{PARAGRAPH}</p>", '<ul class="menu"><li><a href=1>Home</a><li><a href=2>News</a></ul>'
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ('<article class="post has-comments"><h1>H</h1>PP</article>', "H PP"),
+        ('<div class="content with-sidebar"><h1>H</h1>PP</div><footer>x</footer>', "H PP"),
+        ("<form id=f><div><h1>H</h1>PP</div></form>", "H PP"),
+        ('<article><h1>H</h1><p class="social-science">Q</p>P</article>', "H PP"),
+        ("<main><h1>H</h1><article>PP</article></main>", "H PP"),
+        ('<main><h1>H</h1><article>PP</article><div><h2>More</h2><a href=1>teaser</a></div></main>', "H PP"),
+        ("<article><h1>H</h1>PPPPPP</article><article><h1>H</h1>P</article>", "H PPPPPP H P"),
+        ('<article><h1>H</h1>P</article><div id="comments"><div class="comment">PPP</div></div>', "H P"),
+        ('<article><h1>H</h1>P<section class="comments">PPP</section></article>', "H P"),
+        ('<div class="text"><h1>H</h1>PP</div><div class="comments">P</div>', "H PP"),
+        ('<article><header><h1>H</h1><p>by me</p></header>P<div class="newsletter-box">P</div></article>', "H P"),
+        ('<article><h1>H</h1>PP<div><a href=x>Click</a></div><div><a href=x>Order</a></div><div><a href=x>Buy</a></div><div><a href=x>Now</a></div></article>', "H PP Click"),
+    ],
+)
+def test_html_keeps_articles_and_drops_what_stands_around(body, want):
+    page = "<body>" + MENU + "".join({"P": P, "Q": PARAGRAPH}.get(c, c) if c in "PQ" else c for c in body) + "</body>"
+    got = html_text.main_text(page)
+    assert got == "\n\n".join(x for w in want.split() for x in (([PARAGRAPH] * len(w)) if w.strip("P") == "" else [w]))
+
+
+def test_html_of_deep_and_unclosed_markup():
+    for page in ("<b>" * 30_000 + "x", "<div>" * 30_000 + "x" + "</p>" * 30_000, "<p><b>" * 20_000 + "x"):
+        assert html_text.main_text(page) == "x"
+
+
 def test_smoothing_and_threshold():
     assert html_text.smooth([1.0, 1.0, 1.0]) == pytest.approx([1, 1, 1])
     assert 1 < html_text.threshold([1, 1, 2, 50, 60, 1]) < 50
