@@ -11,8 +11,9 @@ from rillway.llm.common import materialize, table
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = materialize(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "scanned")
-    every = secrets.spans(secrets.thresholds(scanned))
-    return scanned.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(every).alias("spans"))
+    scored = materialize(secrets.score(scanned, secrets.text_model(scanned)), "scored")
+    every = secrets.spans(secrets.thresholds(scored))
+    return scored.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"), secrets.listed(every).alias("spans"))
 
 
 QUERIES = {"op3_secrets": op3_secrets}
