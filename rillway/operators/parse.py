@@ -7,8 +7,10 @@ records stay, with `valid` false and null fields.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from decimal import Decimal
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,15 +22,9 @@ from rillway.functions.schema import U64_MAX, to_arrow
 MODES = ("strict", "lenient", "quarantine")
 
 
-def _literal(x: str) -> str:
-    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _field_ok(f: StructField, parsed: Column, variant: Column) -> Column:
-    """The field is there, and the text had its type."""
-    value = parsed[f.name]
-    path = "$[0]['" + f.name + "']"
-    seen = F.schema_of_variant(F.try_variant_get(variant, path, "variant"))
+def _field_ok(f: StructField, value: Column, item: Column) -> Column:
+    """The field is there, and the text had its type; item: the field as VARIANT."""
+    seen = F.schema_of_variant(item)
     ok = F.lit(True) if f.nullable else value.isNotNull()
     kind = f.dataType
     if isinstance(kind, StringType):
@@ -47,19 +43,64 @@ def _field_ok(f: StructField, parsed: Column, variant: Column) -> Column:
     return ok
 
 
-def checks(schema: StructType, mode: str, value: str = "value") -> tuple[Column, Column]:
-    """The parsed struct, and whether the line is a valid record."""
-    text = F.col(value)
-    listed = F.concat(F.lit("["), text, F.lit("]"))
-    variant = F.try_parse_json(listed)  # null for broken text, duplicate keys and what follows an object
-    nullable = StructType([StructField(f.name, f.dataType, True, f.metadata) for f in schema.fields])
-    parsed = F.from_json(text, nullable)
-    valid = variant.isNotNull() & (F.json_array_length(listed) == 1) & parsed.isNotNull()
+def _nullable(t):
+    """The type with nulls allowed everywhere, as a VARIANT is read."""
+    if isinstance(t, StructType):
+        return StructType([StructField(f.name, _nullable(f.dataType)) for f in t.fields])
+    return ArrayType(_nullable(t.elementType)) if isinstance(t, ArrayType) else t
+
+
+def _shape(schema: StructType) -> str | None:
+    """Pattern of a VARIANT's schema that holds exactly these fields with small numbers; None where there is none."""
+    parts = []
+    for f in schema.fields:
+        unsigned = f.metadata.get("unsigned")
+        if f.nullable or not re.fullmatch(r"\w+", f.name, re.ASCII):
+            return None
+        if isinstance(f.dataType, StringType):
+            parts.append((f.name, "STRING"))
+        elif isinstance(f.dataType, BooleanType):
+            parts.append((f.name, "BOOLEAN"))
+        elif isinstance(f.dataType, DecimalType) and unsigned:
+            parts.append((f.name, "BIGINT"))
+        elif isinstance(f.dataType, ArrayType) and unsigned:
+            parts.append((f.name, "ARRAY<(VOID|BIGINT)>"))
+        else:
+            return None
+    return "^ARRAY<OBJECT<" + ", ".join(f"{n}: {t}" for n, t in sorted(parts)) + ">>$"
+
+
+def _in_shape(schema: StructType, fields: dict[str, Column], variant: Column) -> Column:
+    """What the shape of a record leaves open: signs, lengths, nulls in lists, a second object."""
+    ok = F.try_variant_get(variant, "$[1]", "variant").isNull()
+    for f in schema.fields:
+        if isinstance(f.dataType, DecimalType):
+            ok &= fields[f.name] >= 0
+        elif isinstance(f.dataType, ArrayType):
+            ok &= F.forall(fields[f.name], lambda x: F.coalesce(x >= 0, F.lit(False)))
+            if "size" in f.metadata:
+                ok &= F.size(fields[f.name]) == f.metadata["size"]
+    return ok
+
+
+def _get(variant: Column, f: StructField, kind: str) -> Column:
+    return F.try_variant_get(variant, f"$[0]['{f.name}']", kind)
+
+
+def validity(schema: StructType, mode: str, variant: Column, fields: dict[str, Column]) -> Column:
+    """Whether the line is a valid record; variant: the line, parsed, in an array; fields: what it holds."""
+    # one object, and nothing after it; null for broken text, repeated keys and what follows an object
+    valid = F.schema_of_variant(variant).startswith("ARRAY<OBJECT<") & F.try_variant_get(variant, "$[1]", "variant").isNull()
+    items = {f.name: _get(variant, f, "variant") for f in schema.fields}
     if mode != "lenient":
-        valid &= F.size(F.array_except(F.json_object_keys(text), F.array(*[F.lit(f.name) for f in schema.fields]))) == 0
+        there = reduce(Column.__add__, [i.isNotNull().cast("int") for i in items.values()], F.lit(0))
+        valid &= F.size(F.map_keys(F.try_variant_get(variant, "$[0]", "map<string,variant>"))) == there
     for f in schema.fields:
-        valid &= _field_ok(f, parsed, variant)
-    return parsed, F.coalesce(valid, F.lit(False))
+        valid &= _field_ok(f, fields[f.name], items[f.name])
+    if mode != "lenient" and (shape := _shape(schema)):
+        # one look at the schema settles most records; field by field go those with large numbers, or faults
+        valid = F.when(F.schema_of_variant(variant).rlike(shape), _in_shape(schema, fields, variant)).otherwise(valid)
+    return F.coalesce(valid, F.lit(False))
 
 
 def parse_records(df: DataFrame, schema: StructType, mode: str = "strict", value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -67,12 +108,20 @@ def parse_records(df: DataFrame, schema: StructType, mode: str = "strict", value
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
     lines = df.filter(F.length(F.trim(F.col(value))) > 0)
-    parsed, valid = checks(schema, mode, value)
+    # the text is parsed once: what is generated is a column, which the optimizer can't replace by its expression
+    # wherever it is used.  Names that start with __ are taken.
+    line = F.try_parse_json(F.concat(F.lit("["), F.col(value), F.lit("]")))
+    made = lines.select(*keep, F.col(value).alias("__value"), F.explode(F.array(line)).alias("__line"))
+    got = F.struct(*[_get(F.col("__line"), f, _nullable(f.dataType).simpleString()).alias(f.name) for f in schema.fields])
+    made = made.select("*", F.explode(F.array(got)).alias("__got"))
+    fields = {f.name: F.col("__got").getField(f.name) for f in schema.fields}
+    valid = validity(schema, mode, F.col("__line"), fields)
     if mode == "quarantine":
-        fields = F.when(valid, parsed)
-        return lines.select(*keep, value, valid.alias("valid"), fields.alias("__p")).select(*keep, value, "valid", *[F.col("__p")[f.name].alias(f.name) for f in schema.fields])
-    error = F.raise_error(F.concat(F.lit("not a valid record: "), F.substring(F.col(value), 1, 200)))
-    return lines.select(*keep, F.when(valid, parsed).otherwise(error).alias("__p")).select(*keep, *[F.col("__p")[f.name].alias(f.name) for f in schema.fields])
+        out = made.select(*keep, F.col("__value").alias(value), valid.alias("valid"), *[c.alias(f"__{n}") for n, c in fields.items()])
+        return out.select(*keep, value, "valid", *[F.when(F.col("valid"), F.col(f"`__{n}`")).alias(n) for n in fields])
+    error = F.raise_error(F.concat(F.lit("not a valid record: "), F.substring(F.col("__value"), 1, 200)))
+    sound = made.filter(F.when(valid, F.lit(True)).otherwise(error.cast("boolean")))
+    return sound.select(*keep, *[c.alias(n) for n, c in fields.items()])
 
 
 def parse_with_arrow(df: DataFrame, schema: StructType, mode: str = "strict", value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
