@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from rillway.operators.parse import _plain
 
 MAX_ROWS = 1024
 MAX_BYTES = 5_232_640
+INSTANTS = ["parse", "resize", "serialize"]
 MESSAGE_SCHEMA = "first_seq bigint, last_seq bigint, num_rows bigint, num_bytes bigint, message binary"
 
 
@@ -22,13 +25,26 @@ def batch_of(position: Column, max_rows: int = MAX_ROWS) -> Column:
     return F.floor(position / max_rows).cast("long")
 
 
-def serialize(df: DataFrame, schema: StructType, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, resplit: bool = False, seq: str = SEQUENCE) -> DataFrame:
+def serialize(df: DataFrame, schema: StructType, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, resplit: bool = False, seq: str = SEQUENCE, instants: bool = False) -> DataFrame:
     """Arrow IPC messages of at most max_rows rows; seq must be the first column.
 
-    A message over max_bytes fails, or with resplit is halved until it fits.  Rows of a message follow
-    each other in number as far as they do within a partition.
+    A message over max_bytes fails, or with resplit is halved until it fits.  Where the first column is
+    the sequence, the rows of a message follow each other in number without a gap.  instants: with the
+    nanoseconds since 1970 at which a message's rows had been parsed, cut to size, and serialized.
     """
     arrow = to_arrow(schema)
+    numbered = schema.fields[0].name == seq
+
+    def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ends = [batch.num_rows]
+        if numbered and batch.num_rows:
+            n = batch.column(0).to_numpy(zero_copy_only=False)
+            ends = [*(np.flatnonzero(n[1:] != n[:-1] + 1) + 1).tolist(), batch.num_rows]
+        at = 0
+        for end in ends:
+            for lo in range(at, end, max_rows):
+                yield batch.slice(lo, min(max_rows, end - lo))
+            at = end
 
     def messages(batch: pa.RecordBatch) -> Iterator[tuple]:
         data = batch.serialize()
@@ -44,13 +60,17 @@ def serialize(df: DataFrame, schema: StructType, max_rows: int = MAX_ROWS, max_b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            parsed = time.time_ns()
             typed = pa.Table.from_batches([b]).cast(pa.schema([pa.field(f.name, _loose(f.type)) for f in arrow]))
             whole = pa.record_batch([_fixed(c.combine_chunks(), f.type) for c, f in zip(typed.columns, arrow)], schema=arrow)
-            made = [m for lo in range(0, whole.num_rows, max_rows) for m in messages(whole.slice(lo, max_rows))]
-            for m in made:
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in m], names=["first_seq", "last_seq", "num_rows", "num_bytes", "message"])
-
-    return df.select([f.name for f in schema.fields]).mapInArrow(run, MESSAGE_SCHEMA)
+            for part in slices(whole):
+                resized = time.time_ns()
+                for m in messages(part):
+                    row = [*m, parsed, resized, time.time_ns()] if instants else m
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=names)
+
+    names = ["first_seq", "last_seq", "num_rows", "num_bytes", "message", *(INSTANTS if instants else [])]
+    return df.select([f.name for f in schema.fields]).mapInArrow(run, MESSAGE_SCHEMA + "".join(f", {i} bigint" for i in INSTANTS) * instants)
 
 
 def _loose(t: pa.DataType) -> pa.DataType:

@@ -21,10 +21,19 @@ def offsets(df: DataFrame, length: str, order: list[str], name: str = "off") ->
     return running_total(df, F.col(length), order, name)
 
 
-def from_values(df: DataFrame, keys: list[str], pos: str, value: str, name: str) -> DataFrame:
-    """Lists from their values, ordered by position."""
+def from_values(df: DataFrame, keys: list[str], pos: str, value: str, name: str, rows: DataFrame | None = None) -> DataFrame:
+    """Lists from their values, ordered by position; rows: all keys, so that those without values get empty lists."""
     lists = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(pos, value))).alias("__l"))
-    return lists.select(*keys, F.transform("__l", lambda x: x[value]).alias(name))
+    lists = lists.select(*keys, F.transform("__l", lambda x: x[value]).alias(name))
+    if rows is None:
+        return lists
+    return rows.select(*keys).join(lists, keys, "left").withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
+
+
+def from_offsets(lists: DataFrame, keys: list[str], off: str, length: str, items: DataFrame, at: str, value: str, name: str) -> DataFrame:
+    """Lists from where each begins among the items of all (at: an item's place, from 0) and how long it is."""
+    wanted = lists.filter(F.col(length) > 0).select(*keys, F.explode(F.sequence(F.col(off), F.col(off) + F.col(length) - 1)).alias(at))
+    return from_values(wanted.join(items.select(at, value), at), keys, at, value, name, lists)
 
 
 def fixed_size_view(column: str, row: Column, size: int) -> Column:

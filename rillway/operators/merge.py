@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillway.operators.sequence import add_sequence
+from rillway.operators.sequence import add_sequence, place_within
 
 
 def merge_sources(sources: list[DataFrame], tag: str = "source") -> DataFrame:
@@ -17,8 +17,7 @@ def merge_sources(sources: list[DataFrame], tag: str = "source") -> DataFrame:
 
 def round_robin(df: DataFrame, source: str, order: str, name: str = "out_pos") -> DataFrame:
     """Rows of the sources in turn, as if each were always ready; numbered from 0."""
-    turn = F.row_number().over(Window.partitionBy(source).orderBy(order))
-    return add_sequence(df.withColumn("__turn", turn), ["__turn", source], name=name).drop("__turn")
+    return add_sequence(place_within(df, [source], [order], "__turn"), ["__turn", source], name=name).drop("__turn")
 
 
 def worst_case_receive(df: DataFrame, received: str, by: list[str] | None = None, name: str = "received") -> DataFrame:

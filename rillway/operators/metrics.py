@@ -21,13 +21,14 @@ def failures(df: DataFrame, order: str, status: str = "status") -> DataFrame:
 
 
 def throughput(rolled: DataFrame, seconds: str = "t_parse") -> DataFrame:
-    """Rates of a rollup; the mean time is the total by the number of workers."""
-    mean = F.col(seconds) / F.col("num_threads")
+    """Rates of a rollup; the mean time is the total by the number of workers.  No time gives no rates."""
+    mean = F.try_divide(F.col(seconds), F.col("num_threads"))
+    rate = lambda x: F.try_divide(x, mean)
     per = lambda x, y: F.when(F.col(y) > 0, F.col(x) / F.col(y)).otherwise(0.0)
     return rolled.select(
-        (F.col("json_bytes") / 1e6 / mean).alias("mb_per_s"),
-        (F.col("json_bytes") / 2**20 / mean).alias("mib_per_s"),
-        (F.col("num_jsons") / 1e6 / mean).alias("mjson_per_s"),
+        rate(F.col("json_bytes") / 1e6).alias("mb_per_s"),
+        rate(F.col("json_bytes") / 2**20).alias("mib_per_s"),
+        rate(F.col("num_jsons") / 1e6).alias("mjson_per_s"),
         per("ipc_bytes", "num_jsons").alias("bytes_per_json"),
         F.when(F.col("num_ipc") > 0, F.expr("ipc_bytes div num_ipc")).otherwise(0).cast("long").alias("bytes_per_message"),
     )
@@ -46,6 +47,18 @@ def latency_columns(df: DataFrame, stages: list[str] | None = None) -> DataFrame
     return df.select("first_seq", "last_seq", *[((F.unix_micros(b) - F.unix_micros(a)) * 1000).alias(b) for a, b in zip(stages, stages[1:])])
 
 
+def latency_file(messages: DataFrame) -> DataFrame:
+    """First, Last and a column for each stage but the first, from instants in nanoseconds: time since the stage before."""
+    own = [((F.col(b) - F.col(a)).cast("long")).alias(b.capitalize()) for a, b in zip(STAGES, STAGES[1:])]
+    return messages.select(F.col("first_seq").alias("First"), F.col("last_seq").alias("Last"), *own)
+
+
+def publisher_rollup(df: DataFrame) -> DataFrame:
+    """One row: sums over the publishers, and whether all went well."""
+    sums = [F.sum(c).alias(c) for c in ("rows", "ipc", "publish_time", "thread_time")]
+    return df.agg(F.count("*").alias("publishers"), *sums, F.every(F.col("status").isNull()).alias("ok"))
+
+
 def mean_latency_ms(nanos: Column) -> Column:
     return F.sum(nanos) / F.count(nanos) * 1e-6
 

@@ -120,8 +120,9 @@ def parse_records(df: DataFrame, schema: StructType, mode: str = "strict", value
         out = made.select(*keep, F.col("__value").alias(value), valid.alias("valid"), *[c.alias(f"__{n}") for n, c in fields.items()])
         return out.select(*keep, value, "valid", *[F.when(F.col("valid"), F.col(f"`__{n}`")).alias(n) for n in fields])
     error = F.raise_error(F.concat(F.lit("not a valid record: "), F.substring(F.col("__value"), 1, 200)))
-    sound = made.filter(F.when(valid, F.lit(True)).otherwise(error.cast("boolean")))
-    return sound.select(*keep, *[c.alias(n) for n, c in fields.items()])
+    # generated as well: as a filter, the condition would be carried through every join above
+    sound = made.select(*keep, F.explode(F.array(F.when(valid, F.col("__got")).otherwise(error))).alias("__record"))
+    return sound.select(*keep, *[F.col("__record").getField(f.name).alias(f.name) for f in schema.fields])
 
 
 def parse_with_arrow(df: DataFrame, schema: StructType, mode: str = "strict", value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:

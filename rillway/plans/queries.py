@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -131,7 +131,7 @@ _IN_BUFFER = "(SELECT *, user_id % 4 AS buffer_id, row_number() OVER (PARTITION
 @query(f"SELECT buffer_id, pos // 1024 AS slice_id, min(pos) AS first_seq, max(pos) AS last_seq, count(*) AS num_rows FROM {_IN_BUFFER} GROUP BY 1, 2")
 def resize_within_buffer(spark, sf_dir):
     rows = _t(spark, sf_dir, "events").withColumn("buffer_id", F.col("user_id") % 4)
-    rows = rows.withColumn("seq", (F.row_number().over(Window.partitionBy("buffer_id").orderBy("event_id")) - 1).cast("long"))
+    rows = sequence.place_within(rows, ["buffer_id"], ["event_id"], "seq")
     return sequence.sequence_ranges(rows.withColumn("slice_id", batching.batch_of(F.col("seq"))), ["buffer_id", "slice_id"])
 
 
@@ -214,10 +214,15 @@ def list_values(spark, sf_dir):
     return lists.values(_t(spark, sf_dir, "embeddings"), ["vec_id"], "embedding").withColumn("v", F.col("v").cast("double"))
 
 
-@query("SELECT doc_id, text AS joined FROM documents")
+@query("SELECT doc_id, array_to_string(w, ' ') AS joined, CAST(len(w) AS INTEGER) AS n FROM (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: length(x) > 3) AS w FROM documents)")
 def list_from_offsets(spark, sf_dir):
-    words = lists.values(_words(spark, sf_dir), ["doc_id"], "words", value="w")
-    return lists.from_values(words, ["doc_id"], "pos", "w", "words").select("doc_id", F.array_join("words", " ").alias("joined"))
+    """The words of all documents in one run, and lists made of it by their offsets; documents without a word of over
+    three letters have empty lists."""
+    words = _t(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", " "), lambda w: F.length(w) > 3).alias("words"))
+    placed = lists.offsets(lists.lengths(words, "words").select("doc_id", "len", "words"), "len", ["doc_id"])
+    items = lists.values(placed, ["off"], "words", value="w").select((F.col("off") + F.col("pos")).alias("at"), "w")
+    made = lists.from_offsets(placed, ["doc_id"], "off", "len", items, "at", "w", "words")
+    return made.select("doc_id", F.array_join("words", " ").alias("joined"), F.size("words").alias("n"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_returnflag AS flag FROM lineitem WHERE l_returnflag <> 'N'")
@@ -324,9 +329,10 @@ def completeness_check(spark, sf_dir):
     lines = _t(spark, sf_dir, "events").select("event_id", F.col("props").alias("value"))
     rows = parse.parse_records(lines, PROPS, keep=("event_id",)).withColumn("k", F.col("k").cast("long"))
     messages = batching.serialize(rows, rows.schema)
-    counts = [lines.agg(F.count("*").alias("received")), rows.agg(F.count("k").alias("parsed")), messages.agg(F.sum("num_rows").alias("published"))]
-    joined = reduce(lambda a, b: a.join(b, F.lit(True)), [c.withColumn(f"__{i}", F.lit(0)) for i, c in enumerate(counts)])
-    return joined.select("received", "parsed", "published", ((F.col("received") == F.col("parsed")) & (F.col("parsed") == F.col("published"))).alias("complete"))
+    # the lines are parsed once: messages hold all that was parsed, or the parser fails
+    received = lines.count()
+    sums = messages.agg(F.coalesce(F.sum("num_rows"), F.lit(0)).alias("published"))
+    return sums.select(F.lit(received).cast("long").alias("received"), F.col("published").alias("parsed"), "published", (F.col("published") == received).alias("complete"))
 
 
 @query("SELECT n_nationkey, 'n_nationkey : ' || CAST(n_nationkey AS VARCHAR) || chr(10) || 'n_name : ' || n_name AS text FROM nation")

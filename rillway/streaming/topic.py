@@ -33,8 +33,12 @@ class Topic:
             return None
         return StructType.fromJson(json.loads(spark.read.text(f"{path.rstrip('/')}/schema").first()["value"]))
 
-    def publish(self, messages: DataFrame, batch: int = 0) -> None:
-        messages.write.mode("overwrite").parquet(f"{self.path}/messages/batch={batch}")
+    def publish(self, messages: DataFrame, batch: int = 0, per_file: int | None = None) -> None:
+        writer = messages.write.mode("overwrite")
+        (writer.option("maxRecordsPerFile", per_file) if per_file else writer).parquet(f"{self.path}/messages/batch={batch}")
 
     def messages(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/messages")
+
+    def batch(self, batch: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/messages/batch={batch}")

@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rillway.functions.schema import from_arrow, list_record, read_schema, to_arrow, u64, wide_record, with_sequence, write_schema
 from rillway.operators import batching, lists, merge, metrics, sequence
@@ -61,12 +62,42 @@ def test_sequences(spark):
     assert sorted((r["b"], r["count"]) for r in sizes) == [(0, 4), (1, 2), (2, 2), (3, 2)]
 
 
+def test_places_within_keys(spark):
+    rows = spark.createDataFrame([(k, i) for i in range(300) for k in (["a", None, "b"] if i % 3 else ["a"])], "k string, i long")
+    got = sorted((str(r["k"]), r["i"], r["p"]) for r in sequence.place_within(rows, ["k"], ["i"], "p").collect())
+    want = []
+    for k in ("a", "b", None):
+        own = sorted(r["i"] for r in rows.collect() if r["k"] == k)
+        want += [(str(k), i, p) for p, i in enumerate(own)]
+    assert got == sorted(want)
+
+
+def test_messages_hold_neighbours(spark):
+    """Rows of several ranges of numbers in one partition give messages of one range each."""
+    full = with_sequence(list_record())
+    rows = records(spark, 800, list_record()).withColumn("p", F.floor(F.col("seq") / 100) % 2).repartition(2, "p").sortWithinPartitions("seq").drop("p")
+    sizes = batching.serialize(rows, full, max_rows=64).select("first_seq", "last_seq", "num_rows").collect()
+    assert sum(m["num_rows"] for m in sizes) == 800
+    assert all(m["last_seq"] - m["first_seq"] + 1 == m["num_rows"] for m in sizes)
+
+
+def test_no_time_gives_no_rates(spark):
+    row = spark.createDataFrame([(1, 1, 0, 0, 0.0, 1)], "num_jsons long, json_bytes long, num_ipc long, ipc_bytes long, t_parse double, num_threads long")
+    assert metrics.throughput(row).first()["mb_per_s"] is None
+
+
 def test_lists_and_merge(spark):
     rows = spark.createDataFrame([(1, [5, 6]), (2, []), (3, [7])], "id long, l array<int>")
     off = lists.offsets(lists.lengths(rows, "l"), "len", ["id"]).orderBy("id").collect()
     assert [r["off"] for r in off] == [0, 2, 2]
     back = lists.from_values(lists.values(rows, ["id"], "l"), ["id"], "pos", "v", "l").orderBy("id").collect()
     assert [(r["id"], r["l"]) for r in back] == [(1, [5, 6]), (3, [7])]
+    back = lists.from_values(lists.values(rows, ["id"], "l"), ["id"], "pos", "v", "l", rows).orderBy("id").collect()
+    assert [(r["id"], r["l"]) for r in back] == [(1, [5, 6]), (2, []), (3, [7])]
+    items = spark.createDataFrame([(2, 7), (0, 5), (1, 6)], "at long, v int")
+    placed = lists.offsets(lists.lengths(rows, "l").select("id", "len"), "len", ["id"])
+    back = lists.from_offsets(placed, ["id"], "off", "len", items, "at", "v", "l").orderBy("id").collect()
+    assert [(r["id"], r["l"]) for r in back] == [(1, [5, 6]), (2, []), (3, [7])]
     merged = merge.round_robin(spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "s string, o int"), "s", "o").orderBy("out_pos")
     assert [(r["s"], r["o"]) for r in merged.collect()] == [("a", 1), ("b", 1), ("a", 2)]
 
@@ -99,6 +130,29 @@ def test_stream_equals_batch(spark, tmp_path, parser):
     assert batching.same_rows(rows.select("voltage"), whole)
 
 
+def test_quarantine_counters_and_latencies(spark, tmp_path):
+    schema, lines = StructType([u64("v")]), str(tmp_path / "in")
+    made = ['{"v": %d}' % i if i % 7 else '{"v": -%d}' % (i + 1) for i in range(300)]
+    spark.createDataFrame([(x,) for x in made], "value string").coalesce(1).write.text(lines)
+    options = Options(schema, str(tmp_path / "topic"), str(tmp_path / "cp"), max_rows=50, mode="quarantine", partitions=3, messages_per_file=2, latency_path=str(tmp_path / "lat"), metrics_path=str(tmp_path / "met"))
+    assert run(text_stream(spark, lines), options) == {"received": 300, "published": 257, "quarantined": 43}
+    topic = Topic(spark, options.topic, with_sequence(schema))
+    rows = batching.deserialize(topic.messages(), with_sequence(schema)).orderBy("seq").collect()
+    assert [(r["seq"], int(r["v"])) for r in rows] == list(enumerate(i for i in range(300) if i % 7))
+    bad = {r["value"] for r in spark.read.text(f"{options.topic}/quarantine").collect()}
+    assert bad == {x for i, x in enumerate(made) if i % 7 == 0}
+    latency = spark.read.option("header", True).option("inferSchema", True).csv(options.latency_path)
+    assert latency.columns == ["First", "Last", "Parse", "Resize", "Serialize", "Pop", "Publish"]
+    assert latency.agg(F.sum(F.col("Last") - F.col("First") + 1), F.min("Parse") > 0, F.min("Publish") > 0).first() == (257, True, True)
+    counters = spark.read.option("header", True).option("inferSchema", True).csv(options.metrics_path).first()
+    assert (counters["num_jsons"], counters["num_invalid"], counters["json_bytes"]) == (300, 43, sum(len(x) + 1 for x in made))
+
+
+def test_publisher_sums(spark):
+    df = spark.createDataFrame([(10, 2, 0.5, 1.0, None), (20, 3, 0.25, 1.0, "late")], "rows long, ipc long, publish_time double, thread_time double, status string")
+    assert metrics.publisher_rollup(df).first() == (2, 30, 5, 0.75, 2.0, False)
+
+
 def test_payloads(spark):
     assert payloads(spark, 3, 5).agg(F.count("*"), F.max(F.octet_length("message"))).first() == (3, 5)
     assert u64("x").metadata["unsigned"]
