@@ -100,7 +100,7 @@ def from_arrow(schema: pa.Schema) -> StructType:
         else:
             from pyspark.sql.pandas.types import from_arrow_type
 
-            spark = from_arrow_type(inner)
+            spark = from_arrow_type(inner, prefer_timestamp_ntz=True)
         if inner is not t:
             spark = ArrayType(spark, t.value_field.nullable)
         return StructField(f.name, spark, f.nullable, meta)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,28 +10,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from rillway.functions.schema import u64, u64_list
 from rillway.operators import batching, lists, merge, metrics, parse, sequence
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-#: events.props holds one integer under `k`.
-PROPS = StructType([u64("k")])
-
+from rillway.plans.catalogue import ORACLE_SQL, PROPS, QUERIES, query  # noqa: F401
+from rillway.plans.catalogue import table as _t
 
 @query("SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events")
 def parse_event_props(spark, sf_dir):
@@ -377,3 +356,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sequence.add_sequence(parse.parse_records(lines, PROPS, keep=("event_id",)), ["event_id"])
     batches = rows.withColumn("batch_id", batching.batch_of(F.col("seq"), 256))
     return batches.groupBy("batch_id").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("num_rows"), F.sum(F.col("k").cast("long")).alias("sum_k"))
+
+
+from rillway.plans import topics  # noqa: E402, F401 (registers its queries)

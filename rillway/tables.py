@@ -25,12 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return own.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, deleted with the tables."""
+    path = f"{shared_dir(spark)}/rillway-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def written_out(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet and read back: whoever reads it sees the same rows, and lost executors cost a re-read."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rillway-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
