@@ -33,15 +33,15 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "epoch", domain().alias("domain"), "lang", "source", "n_tokens")
 
 
-def _sql() -> str:
+def sql(percent: int = PERCENT, max_epochs: int = MAX_EPOCHS) -> str:
     quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
     dom = "CASE " + " ".join(f"WHEN source IN ({quoted(s)}) THEN '{d}'" for d, s in DOMAINS.items()) + " ELSE 'other' END"
     weight = lambda level: "CASE " + " ".join(f"WHEN {level} = '{k}' THEN {w}" for k, w in WEIGHTS.get(level, {}).items()) + " ELSE 1 END" if WEIGHTS.get(level) else "1"
     parts = [
         f"""docs AS (SELECT doc_id, {dom} AS domain, lang AS lang0, source AS source0, coalesce(lang, '(null)') AS lang, coalesce(source, '(null)') AS source,
   CAST(coalesce((strlen(text) + 3) // 4, 0) AS BIGINT) AS n_tokens FROM documents)""",
-        f"leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * {MAX_EPOCHS} AS BIGINT) AS cap FROM docs GROUP BY ALL)",
-        f"top AS (SELECT CAST(least(floor(sum(tokens) * {PERCENT} / 100), sum(cap)) AS BIGINT) AS budget FROM leaves)",
+        f"leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) * {max_epochs} AS BIGINT) AS cap FROM docs GROUP BY ALL)",
+        f"top AS (SELECT CAST(least(floor(sum(tokens) * {percent} / 100), sum(cap)) AS BIGINT) AS budget FROM leaves)",
     ]
     names = ["domain", "lang", "source"]
     above = "top"
@@ -69,4 +69,4 @@ def _sql() -> str:
 
 
 QUERIES = {"op5_mixing": op5_mixing}
-ORACLE_SQL = {"op5_mixing": _sql()}
+ORACLE_SQL = {"op5_mixing": sql()}
