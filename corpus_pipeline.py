@@ -10,6 +10,10 @@ columns of documents (doc_id, text, lang, source, n_chars):
 4. mixing: each leaf of the domain-language-source tree keeps a seeded prefix within its budget, one
    epoch at most, so that no document comes back as a copy;
 5. bpe: token ids of every document, with their number and digests.
+
+Defined cases: null, empty and very short texts go in the first stage; repeated rows and equal texts are one
+document after the second; a null lang or source is a leaf of its own; columns besides those of documents are
+dropped on entry, whatever their names; an empty table gives an empty one of the same columns at every stage.
 """
 
 from __future__ import annotations
@@ -58,8 +62,8 @@ STAGES = [
     ("bpe", bpe_stage),
 ]
 
-#: The stages estimate, draw signatures and merge tokens, which SQL can't express; tests compare with
-#: plain Python on a small table.
+#: The stages estimate, draw signatures and merge tokens, which SQL can't express; tests compare run() with
+#: plain Python on a small table with copies, secrets and junk.
 ORACLE_SQL = None
 
 
