@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from rillway import tables
 from rillway.functions.schema import u64, u64_list
 from rillway.operators import batching, lists, merge, metrics, parse, sequence
 from rillway.plans.catalogue import ORACLE_SQL, PROPS, QUERIES, query  # noqa: F401
@@ -339,15 +340,16 @@ def generate_records(spark, sf_dir):
 
 @query("SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events")
 def stream_parse(spark, sf_dir):
-    import uuid
-
+    """The sink is a table in the shared folder: one in memory would hold all rows in the driver."""
     events = _t(spark, sf_dir, "events")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # a pattern, as a stream takes a path without one for a folder; so the table may be a file or a folder of files
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")
     lines = stream.select("event_id", F.col("props").alias("value"))
-    name = f"stream_parse_{uuid.uuid4().hex}"
     parsed = parse.parse_records(lines, PROPS, keep=("event_id",)).select("event_id", F.col("k").cast("long").alias("k"))
-    parsed.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    out = tables.scratch(spark, "stream_parse")
+    writer = parsed.writeStream.format("parquet").option("path", out).option("checkpointLocation", tables.scratch(spark, "checkpoint"))
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(parsed.schema).parquet(out)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,3 +76,13 @@ def test_record_batch_file_holds_one_batch(spark, tmp_path):
     assert [(int(r["a"]), r["b"]) for r in rows] == [(1, "x"), (2, None)]
     with pytest.raises(OSError):
         record_batch_file(spark, str(tmp_path / "two"))
+
+
+def test_stream_of_a_table_stays_out_of_the_driver(spark, tmp_path):
+    from rillway.plans.queries import QUERIES
+
+    made = spark.range(1000).selectExpr("id AS event_id", """concat('{"k": ', id, '}') AS props""")
+    made.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["stream_parse"](spark, str(tmp_path))
+    assert got.inputFiles()  # a table in memory has none
+    assert sorted(map(tuple, got.collect())) == [(i, i) for i in range(1000)]
