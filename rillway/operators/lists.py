@@ -16,8 +16,13 @@ def values(df: DataFrame, keys: list[str], column: str, pos: str = "pos", value:
     return df.select(*keys, F.posexplode(column).alias(pos, value))
 
 
-def offsets(df: DataFrame, length: str, order: list[str], name: str = "off") -> DataFrame:
-    """Where every list begins among the values of all, in that order."""
+#: Runs and lists are cut at multiples of GRID places, so that what meets in a join is short.
+GRID_BITS = 6
+GRID = 1 << GRID_BITS
+
+
+def offsets(df: DataFrame, length: str, order: list[str] | None = None, name: str = "off") -> DataFrame:
+    """Where every list begins among the values of all, in that order, or without one as the rows are read."""
     return running_total(df, F.col(length), order, name)
 
 
@@ -32,8 +37,35 @@ def from_values(df: DataFrame, keys: list[str], pos: str, value: str, name: str,
 
 def from_offsets(lists: DataFrame, keys: list[str], off: str, length: str, items: DataFrame, at: str, value: str, name: str) -> DataFrame:
     """Lists from where each begins among the items of all (at: an item's place, from 0) and how long it is."""
-    wanted = lists.filter(F.col(length) > 0).select(*keys, F.explode(F.sequence(F.col(off), F.col(off) + F.col(length) - 1)).alias(at))
-    return from_values(wanted.join(items.select(at, value), at), keys, at, value, name, lists)
+    return from_runs(lists, keys, off, length, items.select(at, F.array(value).alias(value)), at, value, name)
+
+
+def from_runs(lists: DataFrame, keys: list[str], off: str, length: str, runs: DataFrame, at: str, values: str, name: str) -> DataFrame:
+    """The same from runs of items (at: the place of the first; values: an array), which need not begin or end where lists
+    do.  A row of lists gives one row; a list without length is null."""
+    start, size = F.col(at).cast("long"), F.size(values)
+    cut = runs.filter(size > 0).select(start.alias("__start"), F.col(values).alias("__run"), _cells(start, size).alias("__cell"))
+    first = F.greatest("__start", F.col("__cell") * GRID)
+    pieces = cut.select("__cell", first.alias("__first"), F.slice("__run", (first - F.col("__start") + 1).cast("int"), GRID - (first - F.col("__cell") * GRID).cast("int")).alias("__piece"))
+    # lists without values have a cell of their own, where no run is
+    begin, n = F.col(off).cast("long"), F.col(length).cast("long")
+    told = lists.select(*keys, begin.alias("__off"), n.alias("__len"), F.monotonically_increasing_id().alias("__row"))
+    own = F.coalesce(F.when(F.col("__len") > 0, F.sequence(*_ends(F.col("__off"), F.col("__len")))), F.array(-1 - F.col("__row")))
+    wanted = told.select("*", F.explode(own).alias("__cell"))
+    low, end = F.greatest("__off", "__first"), F.least(F.col("__off") + F.col("__len"), F.col("__first") + F.size("__piece"))
+    met = wanted.join(pieces, (wanted["__cell"] == pieces["__cell"]) & (low < end), "left")
+    part = F.when(F.col("__piece").isNotNull(), F.struct(low.alias("at"), F.slice("__piece", (low - F.col("__first") + 1).cast("int"), (end - low).cast("int")).alias("part")))
+    made = met.select(*keys, "__row", "__len", part.alias("__part")).groupBy("__row", *keys, "__len").agg(F.array_sort(F.collect_list("__part")).alias("__parts"))
+    return made.select(*keys, F.when(F.col("__len").isNotNull(), F.flatten(F.transform("__parts", lambda x: x["part"]))).alias(name))
+
+
+def _ends(start: Column, size: Column) -> tuple[Column, Column]:
+    """The first and the last cell of the grid that so many places from start on touch."""
+    return F.shiftright(start, GRID_BITS), F.shiftright(start + size - 1, GRID_BITS)
+
+
+def _cells(start: Column, size: Column) -> Column:
+    return F.explode(F.sequence(*_ends(start, size)))
 
 
 def fixed_size_view(column: str, row: Column, size: int) -> Column:

@@ -36,9 +36,11 @@ def _shifted(table: DataFrame, names: list[str], before: Column, name: str) -> D
     return table.join(F.broadcast(shifts), "__part").select(*names, (F.col("__shift") + before).cast("long").alias(name))
 
 
-def running_total(df: DataFrame, amount: Column, order: list[str | Column], name: str, inclusive: bool = False) -> DataFrame:
-    """df with the sum of amount over the rows before (with inclusive: up to) each, in that order."""
-    ordered = _ordered(df.withColumn("__n", amount.cast("long")), order)
+def running_total(df: DataFrame, amount: Column, order: list[str | Column] | None, name: str, inclusive: bool = False) -> DataFrame:
+    """df with the sum of amount over the rows before (with inclusive: up to) each, in that order; without one, as the
+    rows are read, and they aren't exchanged."""
+    ordered = df.withColumn("__n", amount.cast("long"))
+    ordered = _ordered(ordered, order) if order else ordered
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0

@@ -196,12 +196,12 @@ def list_values(spark, sf_dir):
 
 @query("SELECT doc_id, array_to_string(w, ' ') AS joined, CAST(len(w) AS INTEGER) AS n FROM (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: length(x) > 3) AS w FROM documents)")
 def list_from_offsets(spark, sf_dir):
-    """The words of all documents in one run, and lists made of it by their offsets; documents without a word of over
-    three letters have empty lists."""
+    """The words of all documents in one run, as they are read, and lists made of it by their offsets; documents without a
+    word of over three letters have empty lists, those without text none."""
     words = _t(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", " "), lambda w: F.length(w) > 3).alias("words"))
-    placed = lists.offsets(lists.lengths(words, "words").select("doc_id", "len", "words"), "len", ["doc_id"])
-    items = lists.values(placed, ["off"], "words", value="w").select((F.col("off") + F.col("pos")).alias("at"), "w")
-    made = lists.from_offsets(placed, ["doc_id"], "off", "len", items, "at", "w", "words")
+    placed = lists.offsets(lists.lengths(words, "words").select("doc_id", "len", "words"), "len")
+    runs = placed.select(F.col("off").alias("at"), F.col("words").alias("w"))
+    made = lists.from_runs(placed.select("doc_id", "off", "len"), ["doc_id"], "off", "len", runs, "at", "w", "words")
     return made.select("doc_id", F.array_join("words", " ").alias("joined"), F.size("words").alias("n"))
 
 

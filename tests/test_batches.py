@@ -102,6 +102,41 @@ def test_lists_and_merge(spark):
     assert [(r["s"], r["o"]) for r in merged.collect()] == [("a", 1), ("b", 1), ("a", 2)]
 
 
+def _records_shuffled(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_lists_of_runs(spark):
+    """Runs and lists that don't end where the other does, rows alike, without key, length or values."""
+    items = list(range(1000))
+    cuts = [0, 1, 63, 64, 65, 200, 201, 650, 1000]
+    runs = spark.createDataFrame([(a, items[a:b]) for a, b in zip(cuts, cuts[1:])] + [(5, [])], "at long, v array<int>")
+    wanted = [(1, 0, 3), (2, 3, 500), (3, 503, 0), (3, 503, 0), (None, 503, 397), (4, 600, 100), (4, 600, 100), (5, 900, None), (6, 999, 1), (None, 640, 64)]
+    placed = spark.createDataFrame(wanted, "id int, off long, len long")
+    got = lists.from_runs(placed, ["id"], "off", "len", runs, "at", "v", "l").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((i, None if n is None else items[o : o + n])) for i, o, n in wanted)
+
+
+def test_lists_are_not_moved_by_item(spark, tmp_path):
+    from rillway.plans.queries import QUERIES
+
+    text = " ".join(f"word{i}" for i in range(5000))
+    docs = [(1, text), (2, None), (3, ""), (4, "a bc"), (4, "same number"), (None, "last words")]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    joins = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = _records_shuffled(spark)
+        got = QUERIES["list_from_offsets"](spark, str(tmp_path)).collect()
+        assert _records_shuffled(spark) - before < 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joins)
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr(x) for x in [(1, text, 5000), (2, None, None), (3, "", 0), (4, "", 0), (4, "same number", 2), (None, "last words", 2)])
+
+
 def test_no_messages_give_no_rates(spark):
     row = spark.createDataFrame([(0, 0, 0, 0, 1.0, 1)], "num_jsons long, json_bytes long, num_ipc long, ipc_bytes long, t_parse double, num_threads long")
     got = metrics.throughput(row).first()
