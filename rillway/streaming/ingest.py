@@ -11,7 +11,7 @@ import logging
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -66,12 +66,12 @@ def _publish(options: Options, topic: Topic):
                 invalid = checked.filter("not valid").count()
                 records = add_sequence(checked.filter("valid").drop("value", "valid"), ["__at"], start).drop("__at")
             else:
-                ordered = add_sequence(placed, ["__at"], start)
-                records = parse_with(_spread(ordered, options), options.schema, mode=options.mode, keep=("seq",))
-            messages = batching.serialize(_spread(records, options) if invalid else records, out, options.max_rows, options.max_message_bytes, options.resplit, instants=True)
-            topic.publish(messages, batch, options.messages_per_file)
-            sent = topic.batch(batch).agg(F.count("*"), F.coalesce(F.sum("num_bytes"), F.lit(0))).first()
-            entry = [(batch, start, start + received - invalid, received, size or 0, invalid, *sent, receive, time.time_ns())]
+                records = parse_with(add_sequence(placed, ["__at"], start), options.schema, mode=options.mode, keep=("seq",))
+            # lines are parsed by all tasks there are; only the messages are made in the partitions asked for
+            messages = batching.serialize(_spread(records, options, start, received - invalid), out, options.max_rows, options.max_message_bytes, options.resplit, instants=True)
+            sent = Observation()
+            topic.publish(messages.observe(sent, F.count("*").alias("num_ipc"), F.coalesce(F.sum("num_bytes"), F.lit(0)).alias("ipc_bytes")), batch, options.messages_per_file)
+            entry = [(batch, start, start + received - invalid, received, size or 0, invalid, sent.get["num_ipc"], sent.get["ipc_bytes"], receive, time.time_ns())]
             spark.createDataFrame(entry, COUNTERS).coalesce(1).write.mode("overwrite").parquet(f"{topic.path}/numbers/of={batch}")
         finally:
             lines.unpersist()
@@ -80,8 +80,12 @@ def _publish(options: Options, topic: Topic):
     return publish
 
 
-def _spread(rows: DataFrame, options: Options) -> DataFrame:
-    return rows.repartitionByRange(options.partitions, "seq").sortWithinPartitions("seq") if options.partitions else rows
+def _spread(rows: DataFrame, options: Options, start: int, count: int) -> DataFrame:
+    """count rows, numbered from start on, in ranges of equal length; these are known, so nothing is sampled for them."""
+    if not options.partitions:
+        return rows
+    at = F.floor((F.col("seq") - start) * options.partitions / max(count, 1)).cast("int")
+    return rows.repartitionById(options.partitions, at).sortWithinPartitions("seq")
 
 
 def _counters(spark: SparkSession, path: str) -> DataFrame | None:

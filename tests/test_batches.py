@@ -6,7 +6,7 @@ from pyspark.sql.types import StructType
 
 from rillway.functions.schema import from_arrow, list_record, read_schema, to_arrow, u64, wide_record, with_sequence, write_schema
 from rillway.operators import batching, lists, merge, metrics, sequence
-from rillway.operators.parse import parse_records
+from rillway.operators.parse import PARSERS, parse_records
 from rillway.sources.generator import json_records
 from rillway.sources.lines import payloads, text_files, text_stream
 from rillway.streaming.ingest import Options, run
@@ -183,6 +183,35 @@ def test_quarantine_counters_and_latencies(spark, tmp_path):
     assert (counters["num_jsons"], counters["num_invalid"], counters["json_bytes"]) == (300, 43, sum(len(x) + 1 for x in made))
 
 
+def test_only_messages_are_made_in_the_partitions(spark, tmp_path):
+    """Lines are parsed where they are read, many small files share a task, and all is as with fewer."""
+    schema, lines, plans = StructType([u64("v")]), str(tmp_path / "in"), []
+    spark.range(1000).selectExpr("""concat('{"v": ', id, '}') AS value""").coalesce(4).write.text(lines)
+
+    def own(df, *a, **k):
+        plans.append(df._jdf.queryExecution().analyzed().toString())
+        return parse_records(df, *a, **k)
+
+    packed = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    PARSERS["own"] = own
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        options = Options(schema, str(tmp_path / "topic"), str(tmp_path / "cp"), max_rows=10, parser="own", partitions=3, messages_per_file=1, metrics_path=str(tmp_path / "met"))
+        assert run(text_stream(spark, lines), options) == {"received": 1000, "published": 1000}
+        messages = Topic(spark, options.topic, with_sequence(schema)).messages()
+        assert len(messages.inputFiles()) >= 100 and messages.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    finally:
+        del PARSERS["own"]
+        spark.conf.set("spark.sql.files.maxPartitionBytes", packed)
+    assert len(plans) == 1 and "Repartition" not in plans[0]
+    parts = {f.rpartition("/")[2].split("-")[1] for f in messages.inputFiles()}
+    assert len(parts) == 3
+    rows = batching.deserialize(messages, with_sequence(schema))
+    assert rows.select("seq").distinct().count() == rows.count() == 1000 and rows.agg(F.max("seq")).first()[0] == 999
+    counters = spark.read.option("header", True).option("inferSchema", True).csv(options.metrics_path).first()
+    assert (counters["num_ipc"], counters["ipc_bytes"]) == messages.agg(F.count("*"), F.sum("num_bytes")).first()
+
+
 def test_publisher_sums(spark):
     df = spark.createDataFrame([(10, 2, 0.5, 1.0, None), (20, 3, 0.25, 1.0, "late")], "rows long, ipc long, publish_time double, thread_time double, status string")
     assert metrics.publisher_rollup(df).first() == (2, 30, 5, 0.75, 2.0, False)
