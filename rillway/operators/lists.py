@@ -16,8 +16,8 @@ def values(df: DataFrame, keys: list[str], column: str, pos: str = "pos", value:
     return df.select(*keys, F.posexplode(column).alias(pos, value))
 
 
-#: Runs and lists are cut at multiples of GRID places, so that what meets in a join is short.
-GRID_BITS = 6
+#: Runs and lists are cut at multiples of GRID places, so that few meet in a join; most lists of words are within a cell.
+GRID_BITS = 11
 GRID = 1 << GRID_BITS
 
 
@@ -47,16 +47,24 @@ def from_runs(lists: DataFrame, keys: list[str], off: str, length: str, runs: Da
     cut = runs.filter(size > 0).select(start.alias("__start"), F.col(values).alias("__run"), _cells(start, size).alias("__cell"))
     first = F.greatest("__start", F.col("__cell") * GRID)
     pieces = cut.select("__cell", first.alias("__first"), F.slice("__run", (first - F.col("__start") + 1).cast("int"), GRID - (first - F.col("__cell") * GRID).cast("int")).alias("__piece"))
-    # lists without values have a cell of their own, where no run is
     begin, n = F.col(off).cast("long"), F.col(length).cast("long")
     told = lists.select(*keys, begin.alias("__off"), n.alias("__len"), F.monotonically_increasing_id().alias("__row"))
-    own = F.coalesce(F.when(F.col("__len") > 0, F.sequence(*_ends(F.col("__off"), F.col("__len")))), F.array(-1 - F.col("__row")))
-    wanted = told.select("*", F.explode(own).alias("__cell"))
-    low, end = F.greatest("__off", "__first"), F.least(F.col("__off") + F.col("__len"), F.col("__first") + F.size("__piece"))
-    met = wanted.join(pieces, (wanted["__cell"] == pieces["__cell"]) & (low < end), "left")
-    part = F.when(F.col("__piece").isNotNull(), F.struct(low.alias("at"), F.slice("__piece", (low - F.col("__first") + 1).cast("int"), (end - low).cast("int")).alias("part")))
-    made = met.select(*keys, "__row", "__len", part.alias("__part")).groupBy("__row", *keys, "__len").agg(F.array_sort(F.collect_list("__part")).alias("__parts"))
-    return made.select(*keys, F.when(F.col("__len").isNotNull(), F.flatten(F.transform("__parts", lambda x: x["part"]))).alias(name))
+    cells = _ends(F.col("__off"), F.col("__len"))
+    across = F.coalesce((F.col("__len") > 0) & (cells[0] < cells[1]), F.lit(False))
+
+    def made(wanted: DataFrame, by: list[str]) -> DataFrame:
+        low, end = F.greatest("__off", "__first"), F.least(F.col("__off") + F.col("__len"), F.col("__first") + F.size("__piece"))
+        met = wanted.join(pieces, (wanted["__cell"] == pieces["__cell"]) & (low < end), "left")
+        part = F.when(F.col("__piece").isNotNull(), F.struct(low.alias("at"), F.slice("__piece", (low - F.col("__first") + 1).cast("int"), (end - low).cast("int")).alias("part")))
+        rows = met.select(*keys, wanted["__cell"], "__row", "__len", part.alias("__part")).groupBy(*by, "__row", *keys, "__len")
+        parts = F.transform(F.array_sort(F.collect_list("__part")), lambda x: x["part"])
+        return rows.agg(parts.alias("__parts")).select(*keys, F.when(F.col("__len").isNotNull(), F.flatten("__parts")).alias(name))
+
+    # lists without values have a cell of their own, where no run is; those within a cell are made where it is
+    own = F.when(F.col("__len") > 0, cells[0])
+    inside = told.filter(~across).withColumn("__cell", F.coalesce(own, -1 - F.col("__row")))
+    beyond = told.filter(across).select("*", F.explode(F.sequence(*cells)).alias("__cell"))
+    return made(inside, ["__cell"]).unionByName(made(beyond, []))
 
 
 def _ends(start: Column, size: Column) -> tuple[Column, Column]:

@@ -109,8 +109,11 @@ def _records_shuffled(spark):
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-def test_lists_of_runs(spark):
+@pytest.mark.parametrize("bits", [3, 6, 11])
+def test_lists_of_runs(spark, monkeypatch, bits):
     """Runs and lists that don't end where the other does, rows alike, without key, length or values."""
+    monkeypatch.setattr(lists, "GRID_BITS", bits)
+    monkeypatch.setattr(lists, "GRID", 1 << bits)
     items = list(range(1000))
     cuts = [0, 1, 63, 64, 65, 200, 201, 650, 1000]
     runs = spark.createDataFrame([(a, items[a:b]) for a, b in zip(cuts, cuts[1:])] + [(5, [])], "at long, v array<int>")
